@@ -23,13 +23,13 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return at.fill_null("")
 
 
-def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most that many bytes, or of one row."""
+def slices(column: pa.Array, most: int = SLICE, rows: int = 1 << 15) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most that many bytes, or of one row, and at most that many rows."""
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
     start = 0
     while start < len(column):
         end = int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1
-        end = min(max(end, start + 1), len(column))
+        end = min(max(end, start + 1), start + rows, len(column))
         yield start, end
         start = end
 
