@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.arrow import slices, texts
 from strata.llm.common import col, table, text_of
+from strata.runtime import ship
 
 CACHE = 1 << 18
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -259,6 +260,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 def encode_decode(docs: DataFrame, path: str | None = None, columns: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The given columns, ids (binary: little-endian unsigned 32-bit) and decoded."""
     spark = docs.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(Vocabulary.load(path or vocabulary_path()))
     packed = docs.select(F.struct(*(col(c) for c in columns)).alias("row"), text_of(text_col).alias("text"))
 

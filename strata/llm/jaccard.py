@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from strata.llm.arrow import _mix, grams, per_text, raw, slices, texts, word_hashes
 from strata.llm.common import col, free_shuffles, materialise, row_hash, table, text_of
 from strata.llm.components import components
+from strata.runtime import ship
 
 SHINGLE, PERCENT, BITS, LEAST_PARTS, MOST_MATCHES, VERIFY_COST = 5, 75, 46, 64, 8, 4.0
 HEAD = np.dtype([("d", "<u8"), ("n", "<u4"), ("c", "u1"), ("k", "<u4")])
@@ -249,6 +250,7 @@ def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
 def linked_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text_col: str = "text") -> DataFrame:
     """node and root: for each class that is linked to one of a smaller digest, the smallest of its component."""
     spark = docs.sparkSession
+    ship(spark)
     parts = max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = partition_keys(spark, parts)
     classes = materialise(_prefixes(_shared(_spread(docs, keys, size, text_col), keys), parts, percent), "classes")
@@ -279,6 +281,7 @@ def linked_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each of docs: doc_id, hash (of the text), n_shingles, component_id."""
+    ship(docs.sparkSession)
     rows = materialise(members(docs, size, id_col, text_col), "members")
     roots = linked_classes(docs, size, percent, text_col)
     least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
