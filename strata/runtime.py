@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Python functions on executors import this package; it travels through the driver's file server, once an application."""
+    # long rows: a batch is bounded by bytes, not only by the number of rows
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -23,3 +26,28 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
     _SHIPPED.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of the machine's own only where none is set, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="strata-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/strata/{uuid.uuid4().hex}/{name}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage with a table in the shared folder."""
+    path = stage_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
