@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.ids import header
-from strata.operators.live import newest
+from strata.operators.live import newest, since_checkpoint
 
 DEFAULT_BROWSE = 4096
 ENTRY_OVERHEAD = 24
@@ -89,3 +89,15 @@ def fully_replicated(acked: DataFrame, seq: int) -> DataFrame:
 
 def watermarks(acked: DataFrame) -> DataFrame:
     return acked.groupBy("peer").agg(F.coalesce(F.max("seq"), F.lit(0)).alias("acked")).orderBy("peer")
+
+
+def flush_batches(log: DataFrame, most: int) -> DataFrame:
+    """log and batch: runs of at most so many records of each tenant, oldest first, as they go to the archive."""
+    by = Window.partitionBy("tenant").orderBy("seq")
+    return log.withColumn("batch", F.floor((F.row_number().over(by) - 1) / most))
+
+
+def drained(base: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The archive with what the log holds after its last checkpoint, and how many records those are."""
+    fresh = since_checkpoint(log)
+    return apply_flush(base, fresh.select(*base.columns)), fresh.agg(F.count("*").alias("drained"))

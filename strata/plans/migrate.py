@@ -130,3 +130,13 @@ def first_try_or(found: DataFrame, family: Family, wanted: int) -> DataFrame:
     if v.fallback and found.isEmpty():
         return v.fallback()
     return found
+
+
+def split(df: DataFrame, targets: dict[str, Move]) -> dict[str, DataFrame]:
+    """One family's rows as several families' rows, from one scan if the source is cached or written before."""
+    return {name: df.transform(move) for name, move in targets.items()}
+
+
+def lifted(columns: tuple[str, ...], keep: tuple[str, ...] = ("tenant", "created_at")) -> Move:
+    """A move to a family that has some of the columns, and the source's tenant and tick."""
+    return lambda df: df.select(*[c for c in keep if c in df.columns], *[c for c in columns if c not in keep])

@@ -439,6 +439,18 @@ def compaction(spark, sf):
     return history.compacted(events_log(spark, sf), 4).select("event_id", "tenant")
 
 
+@query("SELECT user_id AS tenant, b AS batch, count(*) AS records FROM (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 20 AS b FROM events) x GROUP BY 1, 2")
+def flush_batches(spark, sf):
+    return history.flush_batches(events_log(spark, sf), 20).groupBy("tenant", "batch").agg(F.count("*").alias("records"))
+
+
+@query("SELECT count(*) AS drained FROM events WHERE event_id > (SELECT max(event_id) FROM events WHERE event_type = 'signup')")
+def drain(spark, sf):
+    rows = _archive(spark, sf).join(read(spark, sf, "events").select(F.col("event_id").alias("write_seq"), "event_type"), "write_seq")
+    log = rows.withColumn("seq", F.col("write_seq")).withColumn("op", F.when(F.col("event_type") == "signup", "C").otherwise("U"))
+    return history.drained(_archive(spark, sf).limit(0), log)[1]
+
+
 _ACKS = "(SELECT 'p' || (event_id % 5) AS peer, event_id AS seq, event_type FROM events)"
 
 
@@ -656,10 +668,9 @@ def migrate_filter_before(spark, sf):
 
 @query("SELECT o_orderkey AS key, 'core' AS family, o_orderstatus AS what FROM orders UNION ALL SELECT o_orderkey, 'price', CAST(o_custkey AS VARCHAR) FROM orders")
 def migrate_split(spark, sf):
-    src = read(spark, sf, "orders")
-    core = src.select(F.col("o_orderkey").alias("key"), F.lit("core").alias("family"), F.col("o_orderstatus").alias("what"))
-    lifted = src.select(F.col("o_orderkey").alias("key"), F.lit("price").alias("family"), F.col("o_custkey").cast("string").alias("what"))
-    return core.unionByName(lifted)
+    parts = migrate.split(orders_log(spark, sf), {"core": migrate.lifted(("o_orderkey", "o_orderstatus")), "price": migrate.lifted(("o_orderkey", "o_custkey"))})
+    core = parts["core"].select(F.col("o_orderkey").alias("key"), F.lit("core").alias("family"), F.col("o_orderstatus").alias("what"))
+    return core.unionByName(parts["price"].select(F.col("o_orderkey").alias("key"), F.lit("price").alias("family"), F.col("o_custkey").cast("string").alias("what")))
 
 
 @query("SELECT o_orderkey, count(l_orderkey) AS item_count FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")

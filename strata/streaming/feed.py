@@ -169,3 +169,24 @@ class SeenFilter:
             return pd.Series(me.probably_seen(v.astype(str).tolist()))
 
         return run(key.cast("string"))
+
+
+def replicated(stream: DataFrame, targets: list[str], checkpoint: str):
+    """Each batch to every replica as it is, without running hooks again; a batch that is repeated overwrites itself."""
+
+    def copy(batch: DataFrame, epoch: int) -> None:
+        kept = batch.persist()
+        for t in targets:
+            kept.write.mode("overwrite").parquet(f"{t}/epoch={epoch}")
+        kept.unpersist()
+
+    return stream.writeStream.foreachBatch(copy).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sticky(stream: DataFrame, view, target: str, checkpoint: str):
+    """Evaluates a view anew whenever rows come, and leaves its latest result in target."""
+
+    def again(batch: DataFrame, epoch: int) -> None:
+        view().write.mode("overwrite").parquet(target)
+
+    return stream.writeStream.foreachBatch(again).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -153,3 +153,34 @@ def test_stream_resumes(spark, tmp_path):
     spark.range(5, 8).withColumnRenamed("id", "seq").write.mode("append").parquet(src)
     feed.archive_stream(stream(), target, f"{tmp_path}/checkpoint").awaitTermination()
     assert sorted(r[0] for r in spark.read.parquet(target).collect()) == list(range(8))
+
+
+def test_replicas_and_views(spark, tmp_path):
+    src = f"{tmp_path}/in"
+    spark.range(4).write.parquet(src)
+    stream = feed.read_log(spark, src, spark.read.parquet(src).schema)
+    targets = [f"{tmp_path}/a", f"{tmp_path}/b"]
+    feed.replicated(stream, targets, f"{tmp_path}/c1").awaitTermination()
+    assert all(spark.read.parquet(t).count() == 4 for t in targets)
+    feed.sticky(stream, lambda: spark.read.parquet(src).agg(F.sum("id").alias("s")), f"{tmp_path}/view", f"{tmp_path}/c2").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/view").first()[0] == 6
+
+
+def test_compression(spark):
+    from strata.functions import compress
+    from strata.runtime import ship
+
+    ship(spark)
+    samples = [f"record {i} of the same kind {i * 7}".encode() for i in range(400)]
+    for words in (b"", compress.trained(samples, 1024)):
+        df = spark.createDataFrame([(s,) for s in samples[:20]] + [(None,), (b"",)], "v binary")
+        back = df.select("v", compress.decompressed(compress.compressed(F.col("v"), 19, words), words).alias("w")).collect()
+        assert all(r["v"] == r["w"] for r in back)
+    assert compress.trained([b"x"]) == b""
+
+
+def test_tokens():
+    from strata.functions import auth
+
+    t = auth.mint(b"key", 1, 77, 1000)
+    assert auth.verify(b"key", t, 1, 1030) and not auth.verify(b"key", t, 1, 1031) and not auth.verify(b"key", t, 2, 1000) and not auth.verify(b"other", t, 1, 1000)
