@@ -248,10 +248,10 @@ def header_pack(spark, sf):
     return rows.select("p_partkey", "header", ids.header_struct("header").alias("struct_id"), ids.header_version("header").alias("version"))
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS nth FROM orders WHERE o_custkey < 200")
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders")
 def id_order(spark, sf):
-    rows = read(spark, sf, "orders").where("o_custkey < 200").withColumn("id", ids.id_bytes("o_custkey", 0, 101, "o_orderkey"))
-    return rows.select("o_orderkey", F.row_number().over(Window.orderBy("id")).cast("bigint").alias("nth"))
+    rows = read(spark, sf, "orders").withColumn("id", ids.id_bytes("o_custkey", 0, 101, "o_orderkey"))
+    return rows.select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("id")).cast("bigint").alias("nth"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey = 21")
