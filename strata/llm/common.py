@@ -38,7 +38,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage with a table in the shared folder, so that a lost executor costs no recomputation from the start."""
     path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def free_shuffles(spark: SparkSession) -> None:

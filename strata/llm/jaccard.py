@@ -8,8 +8,8 @@ any m; each class takes the m for which the estimated cost (postings to read and
 must share as many prefix shingles as the smaller of its two m before it is verified.
 
 Candidates come in three rounds. In the first two, the members of a shingle's list are held only against one of them, first
-the smallest, then one picked by hash; what is linked becomes one component. The third takes all remaining pairs of a list whose members are in
-different components, so no link between components is lost, while a group of copies never gives all its pairs.
+the one whose shingles are most frequent, then one picked by hash; what is linked becomes one component. The third takes all remaining pairs of a list whose members are in
+different components, if their sizes, the places of the shingle and 512-bit sketches allow it, so no link between components is lost, while a group of copies never gives all its pairs.
 
 Defined results. Null text counts as empty: an empty set, linked with nothing. Null doc_id can be in a component, but is never its name
 unless no member has another. Rows with equal doc_id are linked by their texts like others. An empty table gives no rows.
@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.arrow import _mix, grams, per_text, raw, slices, texts, word_hashes
+from strata.llm.arrow import _mix, grams, per_text, raw, settle, slices, texts, word_hashes
 from strata.llm.common import col, free_shuffles, materialise, row_hash, table, text_of
 from strata.llm.components import components
 from strata.runtime import ship
 
-SHINGLE, PERCENT, BITS, LEAST_PARTS, MOST_MATCHES, VERIFY_COST = 5, 75, 46, 64, 8, 4.0
+SHINGLE, PERCENT, BITS, LEAST_PARTS, MOST_MATCHES, VERIFY_COST, SKETCH = 5, 75, 46, 64, 8, 4.0, 512
 HEAD = np.dtype([("d", "<u8"), ("n", "<u4"), ("c", "u1"), ("k", "<u4")])
 ENTRY = np.dtype([("d", "<u8"), ("n", "<u4"), ("c", "u1"), ("df", "<u4"), ("lo", "<u4"), ("hi", "<u2")])
 
@@ -125,6 +125,7 @@ def _spread(docs: DataFrame, keys: list[int], size: int, text_col: str) -> DataF
                 rows, cut = np.append(rows, len(p)), np.append(cut, len(at))
                 out = [(keys[x], head[cut[i] : cut[i + 1]].tobytes(), low[rows[i] : rows[i + 1]].tobytes() + high[rows[i] : rows[i + 1]].tobytes()) for i, x in enumerate(here.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["to", "head", "body"])
+            settle()
 
     return docs.select(text_of(text_col).alias("text")).mapInArrow(work, "to long, head binary, body binary")
 
@@ -175,12 +176,14 @@ def _shared(spread: DataFrame, keys: list[int]) -> DataFrame:
             cut = np.append(np.searchsorted(to, here), len(to))
             blobs = [entry[cut[i] : cut[i + 1]].tobytes() for i in range(len(here))]
             yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x in here.tolist()], pa.int64()), pa.array(blobs, pa.binary())], ["to", "entries"])
+            settle()
 
     return spread.repartition(parts, "to").mapInArrow(work, "to long, entries binary")
 
 
 def _prefixes(shared: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Classes with candidates: d, n, need (prefix shingles to share), toks (prefix shingles), shared (all shared shingles, sorted)."""
+    """Classes with candidates: d, n, lost (fingerprints lost to equal bits), s and alone (shingles shared with another class, and not), need (prefix shingles
+    to share), center (mean frequency), sketch (parities of the shared shingles' hashes), toks (prefix shingles), shared (all shared shingles, sorted)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x for batch in batches for x in batch.column(1).to_pylist()]
@@ -208,13 +211,18 @@ def _prefixes(shared: DataFrame, parts: int, percent: int) -> DataFrame:
         for some in np.array_split(rows, max(1, int(s[rows].sum() >> 20))) if len(rows) else ():
             toks = [tok[a : a + k].astype(np.int64) for a, k in zip(start[some].tolist(), take[some].tolist(), strict=True)]
             whole = [np.sort(tok[a : a + k]) for a, k in zip(start[some].tolist(), s[some].tolist(), strict=True)]
+            odd = np.stack([np.bincount((x % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) for x in whole]) & 1
+            sketch = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
             packed = [(x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> np.uint64(32)).astype("<u2").tobytes() for x in whole]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(e["d"][start[some]].astype(np.uint64).view(np.int64)), pa.array(n[some]), pa.array(need[some]), pa.array(toks, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
-                ["d", "n", "need", "toks", "shared"],
+                [
+                    pa.array(e["d"][start[some]].astype(np.uint64).view(np.int64)), pa.array(n[some]), pa.array(c[some]), pa.array(s[some]), pa.array(alone[some]), pa.array(need[some]), pa.array((sums[start + s] - sums[start])[some] / n[some]),
+                    pa.array(sketch.tolist(), pa.list_(pa.int64())), pa.array(toks, pa.list_(pa.int64())), pa.array(packed, pa.binary()),
+                ],
+                ["d", "n", "lost", "s", "alone", "need", "center", "sketch", "toks", "shared"],
             )
 
-    return shared.repartition(parts, "to").mapInArrow(work, "d long, n long, need long, toks array<long>, shared binary")
+    return shared.repartition(parts, "to").mapInArrow(work, "d long, n long, lost long, s long, alone long, need long, center double, sketch array<long>, toks array<long>, shared binary")
 
 
 def _unpack(x: bytes) -> np.ndarray:
@@ -244,7 +252,7 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    return postings.join(labels, F.col("d") == F.col("node"), "left").select("tok", "d", "n", "need", F.coalesce("root", "d").alias("comp"))
+    return postings.join(labels, F.col("d") == F.col("node"), "left").select("tok", "d", "n", "need", "at", F.coalesce("root", "d").alias("comp"))
 
 
 def linked_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text_col: str = "text") -> DataFrame:
@@ -255,28 +263,33 @@ def linked_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     keys = partition_keys(spark, parts)
     classes = materialise(_prefixes(_shared(_spread(docs, keys, size, text_col), keys), parts, percent), "classes")
     free_shuffles(spark)
-    postings = classes.select("d", "n", "need", F.explode("toks").alias("tok"))
+    postings = classes.select("d", "n", "need", "center", (F.col("alone")).alias("alone"), F.posexplode("toks").alias("i", "tok")).withColumn("at", F.col("alone") + F.col("i")).drop("i", "alone")
 
-    lists = postings.groupBy("tok").agg(F.min("d").alias("u"), F.max("d").alias("most")).where("u < most").drop("most")
+    # the least edited of a group of copies has the most frequent shingles: what links at all mostly links with it
+    lists = postings.groupBy("tok").agg(F.max(F.struct("center", "d"))["d"].alias("u"), F.count("*").alias("k")).where("k > 1").drop("k")
     stars = postings.join(lists, "tok").where("d <> u").select("u", F.col("d").alias("v")).distinct()
-    links = materialise(verified(stars, classes, percent), "links")
-    labels = components(links)
+    labels = components(materialise(verified(stars, classes, percent), "links"))
 
     rows = materialise(_labelled(postings, labels), "postings")
     pick = F.struct("comp", F.xxhash64("d", "tok").alias("x"), "d")
     lists = rows.groupBy("tok").agg(F.min(pick).alias("lead"), F.max("comp").alias("most")).where("lead.comp < most").select("tok", "lead")
     stars = rows.join(lists, "tok").where("comp <> lead.comp").select(F.col("lead.d").alias("u"), F.col("d").alias("v")).distinct()
-    links = links.unionByName(materialise(verified(stars, classes, percent), "links-2"))
-    labels = components(links)
+    as_links = lambda found: found.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    labels = components(as_links(labels).unionByName(materialise(verified(stars, classes, percent), "links-2")))
 
     rows = _labelled(postings, labels)
     mixed = rows.groupBy("tok").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("tok")
-    rows = materialise(rows.join(mixed, "tok"), "postings-2")
-    left, right = (rows.select("tok", *(F.col(c).alias(c + x) for c in ("d", "n", "need", "comp"))) for x in "uv")
-    near = (F.col("compu") < F.col("compv")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+    marks = classes.select("d", "s", "lost", *(F.col("sketch")[i].alias(f"b{i}") for i in range(SKETCH // 64)))
+    rows = materialise(rows.join(mixed, "tok").join(marks, "d"), "postings-2")
+    left, right = (rows.select("tok", *(F.col(c).alias(c + x) for c in rows.columns if c != "tok")) for x in "uv")
+    least = F.ceil(percent * (F.col("nu") + F.col("nv")) / F.lit(100 + percent)) - F.col("lostu") - F.col("lostv")
+    # no common shingle stands before the first one, and each odd place of the sketches' difference holds a shingle that is not common
+    room = F.least(F.col("nu") - F.col("atu"), F.col("nv") - F.col("atv")) + F.least("needu", "needv") - 1
+    differ = sum((F.bit_count(F.col(f"b{i}u").bitwiseXOR(F.col(f"b{i}v"))) for i in range(SKETCH // 64)), F.lit(0))
+    near = (F.col("compu") < F.col("compv")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (room >= least) & (F.col("su") + F.col("sv") - differ >= 2 * least)
     pairs = left.join(right, (left["tok"] == right["tok"]) & near).groupBy(F.col("du").alias("u"), F.col("dv").alias("v")).agg(F.count("*").alias("k"), F.least(F.first("needu"), F.first("needv")).alias("need"))
     more = materialise(verified(pairs.where("k >= need").select("u", "v"), classes, percent), "links-3")
-    return components(links.unionByName(more)) if not more.isEmpty() else labels
+    return components(as_links(labels).unionByName(more)) if not more.isEmpty() else labels
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,5 +313,6 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document that names its component stays; rows of equal doc_id and text stay or go together."""
     found = jaccard_components(docs)
-    gone = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("of"), "hash").distinct()
-    return docs.join(gone, (col("doc_id").cast("long") == F.col("of")) & (row_hash(text_of()) == F.col("hash")), "left_anti")
+    gone = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id", "hash").distinct()
+    packed = docs.select(F.struct(*(col(c) for c in docs.columns)).alias("row"), col("doc_id").cast("long").alias("doc_id"), row_hash(text_of()).alias("hash"))
+    return packed.join(gone, ["doc_id", "hash"], "left_anti").select("row.*")
