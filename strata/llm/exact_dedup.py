@@ -19,7 +19,13 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import ascii_lower, col, materialise, stage_path, text_of
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; all instances of an executor share one bounded cache and are closed soon after their query ends.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
+}
 
 
 def _glob(path: str) -> str:
@@ -57,19 +63,20 @@ def stream_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         query = seen.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     schema = "digest string, group_size long, keep struct<doc_id:bigint,place:struct<file:string,row:bigint>>, epoch int"
     updates = spark.read.schema(schema).option("basePath", out).parquet(out) if _exists(spark, out) else spark.createDataFrame([], schema)
     if not max_bytes_per_trigger and updates.select("epoch").distinct().count() <= 1:
         return updates.drop("epoch")
-    return updates.groupBy("digest").agg(F.max_by(F.struct("group_size", "keep"), "epoch").alias("x")).select("digest", "x.*")
+    return materialise(updates.groupBy("digest").agg(F.max_by(F.struct("group_size", "keep"), "epoch").alias("x")).select("digest", "x.*"), "dedup-state")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -82,12 +89,13 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     state = stream_state(spark, path, id_col, text_col, checkpoint, max_bytes_per_trigger)
     rows = _located(spark.read.parquet(path), id_col, text_col).withColumn("digest", F.sha2("norm", 256))
     groups = state.where("group_size > 1")
-    # the bytes that the locators point at, once for each group
-    kept_bytes = groups.select("keep.place", F.col("digest").alias("of")).join(rows.select("place", "norm"), "place").select("of", F.col("norm").alias("kept_norm"))
     hits = rows.join(groups.select(F.col("digest").alias("of"), "keep", "group_size"), F.col("digest") == F.col("of")).drop("of")
+    hits = materialise(hits, "hits")
+    # the bytes that the locators point at, once for each group
+    kept_bytes = hits.where("place = keep.place").select(F.col("digest").alias("of"), F.col("norm").alias("kept_norm"))
     hits = hits.join(kept_bytes, F.col("digest") == F.col("of"))
     same = F.col("norm") == F.col("kept_norm")
-    checked = materialise(hits.select("doc_id", "place", "digest", "keep", same.alias("same"), F.when(~same, F.col("norm")).alias("other"), "group_size"), "hits")
+    checked = materialise(hits.select("doc_id", "place", "digest", "keep", same.alias("same"), F.when(~same, F.col("norm")).alias("other"), "group_size"), "checked")
 
     def answer(df: DataFrame, keep: Column, size: Column) -> DataFrame:
         return df.select("doc_id", keep["doc_id"].alias("keep_id"), size.alias("group_size"), (keep["place"] == F.col("place")).alias("kept"), F.col("digest").alias("text_sha256"))
