@@ -17,8 +17,10 @@ at a time, which is one output row.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -48,17 +50,24 @@ class Template:
     """Encodes segments and reads ids back. path: a byte-level vocabulary file of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        size = max(names) + 1
+        self.path, self.tokenizer = path, None
         self.begin, self.turn, self.text, self.end, self.finish = range(size, size + len(RESERVED))
         value = {c: b for b, c in enumerate(byte_symbols())}
-        self.bytes = [bytes(value.get(c, 63) for c in self.tokenizer.id_to_token(i) or "") for i in range(size)] + [x.encode() for x in RESERVED]
+        self.bytes = [bytes(value.get(c, 63) for c in names.get(i, "")) for i in range(size)] + [x.encode() for x in RESERVED]
 
     def encode(self, many: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch([escape(t) for t in many], add_special_tokens=False)]
+        if self.tokenizer is None:  # only where texts are encoded: it is large
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = True
+        out: list[bytes] = []
+        for a in range(0, len(many), 256):
+            out += [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch([escape(t) for t in many[a : a + 256]], add_special_tokens=False)]
+        return out
 
     def render(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode()
