@@ -267,18 +267,21 @@ def linked_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
 
     # the least edited of a group of copies has the most frequent shingles: what links at all mostly links with it
     lists = postings.groupBy("tok").agg(F.max(F.struct("center", "d"))["d"].alias("u"), F.count("*").alias("k")).where("k > 1").drop("k")
+    lists = materialise(lists, "lists")  # as a table of its own, so that AQE can split a long list in the join
     stars = postings.join(lists, "tok").where("d <> u").select("u", F.col("d").alias("v")).distinct()
     labels = components(materialise(verified(stars, classes, percent), "links"))
 
     rows = materialise(_labelled(postings, labels), "postings")
     pick = F.struct("comp", F.xxhash64("d", "tok").alias("x"), "d")
     lists = rows.groupBy("tok").agg(F.min(pick).alias("lead"), F.max("comp").alias("most")).where("lead.comp < most").select("tok", "lead")
+    lists = materialise(lists, "lists-2")
     stars = rows.join(lists, "tok").where("comp <> lead.comp").select(F.col("lead.d").alias("u"), F.col("d").alias("v")).distinct()
     as_links = lambda found: found.select(F.col("node").alias("u"), F.col("root").alias("v"))
     labels = components(as_links(labels).unionByName(materialise(verified(stars, classes, percent), "links-2")))
 
     rows = _labelled(postings, labels)
     mixed = rows.groupBy("tok").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("tok")
+    mixed = materialise(mixed, "lists-3")
     marks = classes.select("d", "s", "lost", *(F.col("sketch")[i].alias(f"b{i}") for i in range(SKETCH // 64)))
     rows = materialise(rows.join(mixed, "tok").join(marks, "d"), "postings-2")
     left, right = (rows.select("tok", *(F.col(c).alias(c + x) for c in rows.columns if c != "tok")) for x in "uv")
@@ -300,7 +303,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     named = least.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     named = materialise(named, "named")
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     by_class = named.select("class", "root").join(names, "root").select("class", "component_id")
     out = rows.join(by_class, "class", "left")
     return out.select("doc_id", "hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import col, let, row_hash, stripped, table, text_of
+from strata.llm.common import col, let, materialise, row_hash, stripped, table, text_of
 
 SPAN = 3
 
@@ -42,6 +42,7 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = windows(docs, id_col, text_col)
     place = F.struct("doc", "hash", "first")
     again = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("stays")).where("n > 1").drop("n")
+    again = materialise(again, "repeated-windows")  # as a table of its own, so that AQE can split a frequent window in the join
     later = found.join(again, ["a", "b"]).where(place != F.col("stays"))
     return later.groupBy("doc", "hash").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
 
