@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import ascii_lower, col, materialise, stage_path, text_of
 
-#: State on disk; all instances of an executor share one bounded cache and are closed soon after their query ends.
+#: State on disk; all instances of an executor share one bounded cache and are closed soon after their query ends. Files aren't allocated ahead, and
+#: commits upload changes: small states in many partitions stay small.
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
 
@@ -49,6 +52,7 @@ def stream_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
 
     With a checkpoint that outlives the call, the next call takes only new files and goes on from the kept state.
     """
+    own = checkpoint is None
     checkpoint = checkpoint or stage_path(spark, "dedup-stream")
     out = checkpoint + "-state"
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
@@ -72,6 +76,8 @@ def stream_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+        if own:  # nobody goes on from it
+            _delete(spark, checkpoint)
     schema = "digest string, group_size long, keep struct<doc_id:bigint,place:struct<file:string,row:bigint>>, epoch int"
     updates = spark.read.schema(schema).option("basePath", out).parquet(out) if _exists(spark, out) else spark.createDataFrame([], schema)
     if not max_bytes_per_trigger and updates.select("epoch").distinct().count() <= 1:
@@ -79,6 +85,11 @@ def stream_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
     return materialise(updates.groupBy("digest").agg(F.max_by(F.struct("group_size", "keep"), "epoch").alias("x")).select("digest", "x.*"), "dedup-state")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
