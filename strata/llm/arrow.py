@@ -12,8 +12,8 @@ import pyarrow as pa
 
 if sys.platform == "linux":
     with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
-        # freed arrays of 256 KB or more go back to the system at once: idle workers don't keep their peak
-        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 18)
+        # freed arrays of 8 MB or more go back to the system at once: idle workers don't keep their peak
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 23)
 
 #: Bytes of text that are worked on at once (one longer text is one slice).
 SLICE = 2 << 20
