@@ -15,7 +15,8 @@ Defined results. Null text counts as empty: an empty set, linked with nothing. N
 unless no member has another. Rows with equal doc_id are linked by their texts like others. An empty table gives no rows.
 
 Skew and size: copies are collapsed within each slice and again where shingles meet. Blobs of arrays, not rows, are shuffled, to exactly
-one key a partition. A shingle's list is 8 bytes a class in one task; a list is never crossed with itself except between components.
+one key a partition. Shingles that a fortieth of the documents have are found in a first pass and never gathered: a list of them (bounded) is broadcast, and they
+go straight to their classes. A list is never crossed with itself except between components.
 What two texts share is counted on 46-bit fingerprints: for sets of 450 two unlike shingles meet in one of 10^8 pairs.
 """
 
@@ -72,19 +73,46 @@ def _sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return digest, n, n - m, doc, tok
 
 
+def _first_of_each(digest: np.ndarray) -> np.ndarray:
+    _, chosen = np.unique(digest, return_index=True)
+    first = np.zeros(len(digest), bool)
+    first[chosen] = True
+    return first
+
+
 def members(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each of docs: doc_id, hash (of the text), n_shingles, class (null for the empty set)."""
+    """One row for each of docs: doc_id, hash (of the text), n_shingles, class (null for the empty set). Rows with toks are no documents: they count shingles
+    that one class in 64 or more of a slice has."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = texts(batch)
             for a, b in slices(column):
-                digest, n, _, _, _ = _sets(column.slice(a, b - a), size)
+                digest, n, _, doc, tok = _sets(column.slice(a, b - a), size)
                 classes = pa.array(digest.view(np.int64), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), classes], ["doc_id", "hash", "n_shingles", "class"])
-
+                nothing = pa.nulls(b - a, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), classes, nothing, nothing], names)
+                first = _first_of_each(digest)
+                toks, times = np.unique(tok[first[doc]], return_counts=True)
+                often = times >= max(8, int(first.sum()) // 64)
+                if often.any():
+                    lists = [pa.array([x[often].astype(np.int64)], pa.list_(pa.int64())) for x in (toks, times)]
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), *lists], names)
+
+    names = ["doc_id", "hash", "n_shingles", "class", "toks", "times"]
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), row_hash(text_of(text_col)).alias("hash"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, hash long, n_shingles long, class long")
+    return rows.mapInArrow(work, "doc_id long, hash long, n_shingles long, class long, toks array<long>, times array<long>")
+
+
+def frequent(rows: DataFrame, share: int = 40, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a fortieth of the documents or more have, and their frequencies: forty times the mean set size at most, and never over the limit.
+
+    A slice reports what a 64th of its classes have, so a shingle is missed by a 64th of all at most. What isn't named here is counted like any other.
+    """
+    n = rows.where("toks is null").count()
+    pairs = rows.where("toks is not null").select(F.explode(F.arrays_zip("toks", "times")).alias("x")).groupBy(F.col("x.toks").alias("tok")).agg(F.sum("x.times").alias("times"))
+    found = pairs.where(F.col("times") >= max(64, n // share)).orderBy(F.desc("times"), "tok").limit(most).orderBy("tok").toPandas()
+    return found["tok"].to_numpy(np.uint64), found["times"].to_numpy(np.int64)
 
 
 def partition_keys(spark: SparkSession, parts: int) -> list[int]:
@@ -96,19 +124,44 @@ def partition_keys(spark: SparkSession, parts: int) -> list[int]:
     raise RuntimeError("no key for some partition")
 
 
-def _spread(docs: DataFrame, keys: list[int], size: int, text_col: str) -> DataFrame:
-    """to, head (HEAD records) and body (quotients of fingerprints by the number of partitions: 4 and 1 bytes)."""
+def _entries(d: np.ndarray, n: np.ndarray, lost: np.ndarray, df: np.ndarray, tok: np.ndarray, keys: list[int]) -> tuple[list[int], list[bytes]]:
+    """ENTRY records of (class, shingle) pairs, in blobs by the partition of the class."""
+    entry = np.empty(len(d), ENTRY)
+    entry["d"], entry["n"], entry["c"], entry["df"] = d, n, lost, df
+    entry["lo"], entry["hi"] = tok & np.uint64(0xFFFFFFFF), tok >> np.uint64(32)
+    to = (d % np.uint64(len(keys))).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    entry, to = entry[order], to[order]
+    here = np.unique(to)
+    cut = np.append(np.searchsorted(to, here), len(to))
+    return [keys[x] for x in here.tolist()], [entry[cut[i] : cut[i + 1]].tobytes() for i in range(len(here))]
+
+
+def _spread(docs: DataFrame, keys: list[int], size: int, text_col: str, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """to, head (HEAD records) and body (quotients of fingerprints by the number of partitions: 4 and 1 bytes).
+
+    Frequent shingles don't meet in one task: they go straight to their classes, as rows of an empty head and ENTRY records.
+    """
     parts = len(keys)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, times = shared.value
         for batch in batches:
             column = texts(batch)
             for a, b in slices(column):
                 digest, n, lost, doc, tok = _sets(column.slice(a, b - a), size)
-                _, chosen = np.unique(digest, return_index=True)
-                first = np.zeros(len(digest), bool)
-                first[chosen] = True
+                first = _first_of_each(digest)
                 doc, tok = doc[first[doc]], tok[first[doc]]
+                lost = np.minimum(lost, 255)
+                if len(often) and len(tok):
+                    at = np.minimum(np.searchsorted(often, tok), len(often) - 1)
+                    hit = often[at] == tok
+                    if hit.any():
+                        d = doc[hit]
+                        to, blobs = _entries(digest[d], n[d], lost[d], times[at[hit]], tok[hit], keys)
+                        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([b""] * len(to), pa.binary()), pa.array(blobs, pa.binary())], ["to", "head", "body"])
+                        doc, tok = doc[~hit], tok[~hit]
                 if not len(doc):
                     continue
                 p = (tok % np.uint64(parts)).astype(np.uint16 if parts <= 65536 else np.uint32)
@@ -118,7 +171,7 @@ def _spread(docs: DataFrame, keys: list[int], size: int, text_col: str) -> DataF
                 new[1:] = (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])
                 at = np.flatnonzero(new)
                 head = np.empty(len(at), HEAD)
-                head["d"], head["n"], head["c"], head["k"] = digest[doc[at]], n[doc[at]], np.minimum(lost[doc[at]], 255), np.diff(np.append(at, len(p)))
+                head["d"], head["n"], head["c"], head["k"] = digest[doc[at]], n[doc[at]], lost[doc[at]], np.diff(np.append(at, len(p)))
                 low, high = (q & np.uint64(0xFFFFFFFF)).astype("<u4"), (q >> np.uint64(32)).astype(np.uint8)
                 here = np.unique(p)
                 rows, cut = np.searchsorted(p, here), np.searchsorted(p[at], here)
@@ -140,6 +193,9 @@ def _shared(spread: DataFrame, keys: list[int]) -> DataFrame:
         bodies: dict[int, list] = {}
         for batch in batches:
             for to, head, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if not head:
+                    yield pa.RecordBatch.from_arrays([pa.array([to], pa.int64()), pa.array([body], pa.binary())], ["to", "entries"])
+                    continue
                 n = len(body) // 5
                 heads.setdefault(which[to], []).append(np.frombuffer(head, HEAD))
                 bodies.setdefault(which[to], []).append(np.frombuffer(body, "<u4", n).astype(np.uint64) | np.frombuffer(body, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
@@ -166,16 +222,8 @@ def _shared(spread: DataFrame, keys: list[int]) -> DataFrame:
             df = np.repeat(length, length)
             q, of, d, df = q[df > 1], of[df > 1], d[df > 1], df[df > 1]
             tok = q * np.uint64(parts) + np.uint64(p)
-            entry = np.empty(len(q), ENTRY)
-            entry["d"], entry["n"], entry["c"], entry["df"] = d, head["n"][of], head["c"][of], df
-            entry["lo"], entry["hi"] = tok & np.uint64(0xFFFFFFFF), tok >> np.uint64(32)
-            to = (d % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            entry, to = entry[order], to[order]
-            here = np.unique(to)
-            cut = np.append(np.searchsorted(to, here), len(to))
-            blobs = [entry[cut[i] : cut[i + 1]].tobytes() for i in range(len(here))]
-            yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x in here.tolist()], pa.int64()), pa.array(blobs, pa.binary())], ["to", "entries"])
+            to, blobs = _entries(d, head["n"][of], head["c"][of], df, tok, keys)
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(blobs, pa.binary())], ["to", "entries"])
             settle()
 
     return spread.repartition(parts, "to").mapInArrow(work, "to long, entries binary")
@@ -193,6 +241,9 @@ def _prefixes(shared: DataFrame, parts: int, percent: int) -> DataFrame:
         tok = e["lo"].astype(np.uint64) | e["hi"].astype(np.uint64) << np.uint64(32)
         order = np.lexsort((tok, e["df"], e["d"]))
         e, tok = e[order], tok[order]
+        fresh = np.ones(len(e), bool)  # copies in several slices bring their frequent shingles several times
+        fresh[1:] = (e["d"][1:] != e["d"][:-1]) | (tok[1:] != tok[:-1])
+        e, tok = e[fresh], tok[fresh]
         start = np.flatnonzero(np.concatenate(([True], e["d"][1:] != e["d"][:-1])))
         s = np.diff(np.append(start, len(e)))
         n, c = e["n"][start].astype(np.int64), e["c"][start].astype(np.int64)
@@ -255,13 +306,13 @@ def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return postings.join(labels, F.col("d") == F.col("node"), "left").select("tok", "d", "n", "need", "at", F.coalesce("root", "d").alias("comp"))
 
 
-def linked_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text_col: str = "text") -> DataFrame:
+def linked_classes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], size: int = SHINGLE, percent: int = PERCENT, text_col: str = "text") -> DataFrame:
     """node and root: for each class that is linked to one of a smaller digest, the smallest of its component."""
     spark = docs.sparkSession
     ship(spark)
     parts = max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = partition_keys(spark, parts)
-    classes = materialise(_prefixes(_shared(_spread(docs, keys, size, text_col), keys), parts, percent), "classes")
+    classes = materialise(_prefixes(_shared(_spread(docs, keys, size, text_col, hot), keys), parts, percent), "classes")
     free_shuffles(spark)
     postings = classes.select("d", "n", "need", "center", (F.col("alone")).alias("alone"), F.posexplode("toks").alias("i", "tok")).withColumn("at", F.col("alone") + F.col("i")).drop("i", "alone")
 
@@ -298,8 +349,9 @@ def linked_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each of docs: doc_id, hash (of the text), n_shingles, component_id."""
     ship(docs.sparkSession)
-    rows = materialise(members(docs, size, id_col, text_col), "members")
-    roots = linked_classes(docs, size, percent, text_col)
+    found = materialise(members(docs, size, id_col, text_col), "members")
+    rows = found.where("toks is null").select("doc_id", "hash", "n_shingles", "class")
+    roots = linked_classes(docs, frequent(found), size, percent, text_col)
     least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     named = least.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     named = materialise(named, "named")
