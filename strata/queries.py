@@ -145,9 +145,10 @@ def filter_nan_semantics(spark, sf):
     return out
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey < 100")
+@query("SELECT o_orderkey FROM orders")
 def filter_unknown_field(spark, sf):
-    return filtered(spark, sf, "orders", ORDERS, ~field("nowhere").eq(1) & ORDERS.o_orderkey.lt(100)).select("o_orderkey")
+    """No row matches a field that isn't there; so all match the negation."""
+    return filtered(spark, sf, "orders", ORDERS, ~field("nowhere").eq(1) & ~field("nowhere").ne(1)).select("o_orderkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE false")
@@ -265,24 +266,27 @@ def ticks(spark, sf):
     return read(spark, sf, "events").select("event_id", ids.tick_of("ts").alias("tick"))
 
 
-@query("SELECT event_id FROM events WHERE event_id > (SELECT max(event_id) FROM events WHERE event_type = 'signup' AND event_id < 900) AND event_id < 1000")
+@query("SELECT event_id FROM events WHERE event_id > (SELECT max(event_id) FROM events WHERE event_type = 'signup')")
 def entries_since_checkpoint(spark, sf):
-    log = read(spark, sf, "events").where("event_id < 1000").select(F.col("event_id").alias("seq"), F.when((F.col("event_type") == "signup") & (F.col("event_id") < 900), "C").otherwise("U").alias("op"))
+    log = read(spark, sf, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "C").otherwise("U").alias("op"))
     return live.since_checkpoint(log).select(F.col("seq").alias("event_id"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 15 <> 0 OR o_orderkey % 10 = 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'new' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderstatus <> 'P' OR o_orderpriority = '1-URGENT'")
 def merge_on_read(spark, sf):
-    base = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.lit(0).alias("at"))
-    gone = base.where("o_orderkey % 15 = 0").withColumn("at", F.lit(1)).withColumn("deleted", F.lit(True))
-    new = base.where("o_orderkey % 10 = 0").withColumn("at", F.lit(2)).withColumn("deleted", F.lit(False)).withColumn("o_orderstatus", F.lit("new"))
+    rows = read(spark, sf, "orders")
+    base = rows.select("o_orderkey", "o_orderstatus", F.lit(0).alias("at"))
+    gone = rows.where("o_orderstatus = 'P'").select("o_orderkey", "o_orderstatus", F.lit(1).alias("at"), F.lit(True).alias("deleted"))
+    new = rows.where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.lit("new").alias("o_orderstatus"), F.lit(2).alias("at"), F.lit(False).alias("deleted"))
     return live.merge_on_read(base, gone.unionByName(new), ["o_orderkey"], "at").select("o_orderkey", "o_orderstatus")
 
 
-@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 100 = c_custkey % 100")
+@query("SELECT o.o_orderkey, c_name FROM customer JOIN (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) o ON o.o_custkey = c_custkey")
 def join_1_1(spark, sf):
-    o, c = read(spark, sf, "orders"), read(spark, sf, "customer")
-    return refs.one_to_one(o, c, o.o_custkey == c.c_custkey, o.o_orderkey % 100 == c.c_custkey % 100).select("o_orderkey", "c_name")
+    """Each customer and its newest order, which refers back."""
+    newest = live.newest(orders_log(spark, sf), ["tenant"], ["created_at"]).select("o_orderkey", "o_custkey", "tenant")
+    c = read(spark, sf, "customer")
+    return refs.one_to_one(newest, c, newest.o_custkey == c.c_custkey, newest.tenant == c.c_custkey).select("o_orderkey", "c_name")
 
 
 @query("SELECT n_name, c_custkey FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000")
@@ -291,9 +295,9 @@ def join_1_n(spark, sf):
     return refs.one_to_many(n, c, c.c_nationkey == n.n_nationkey, keep_childless=True).select("n_name", "c_custkey")
 
 
-@query("SELECT DISTINCT p_partkey, s_suppkey FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_size = 1")
+@query("SELECT DISTINCT p_partkey, s_suppkey FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON l_suppkey = s_suppkey")
 def join_m_n(spark, sf):
-    p, li, s = read(spark, sf, "part").where("p_size = 1"), read(spark, sf, "lineitem").select("l_partkey", "l_suppkey"), read(spark, sf, "supplier")
+    p, li, s = read(spark, sf, "part"), read(spark, sf, "lineitem").select("l_partkey", "l_suppkey"), read(spark, sf, "supplier")
     return refs.many_to_many(p, li, s, p.p_partkey == li.l_partkey, li.l_suppkey == s.s_suppkey).select("p_partkey", "s_suppkey").distinct()
 
 
@@ -334,10 +338,10 @@ def nested_unnest(spark, sf):
     return refs.unnest(refs.nest(read(spark, sf, "conversations"), ["conv_id"], ["turn"], ["role"])).select("conv_id", "turn", "role")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'c' || o_custkey ELSE 'x' || o_custkey END AS ref FROM orders")
+@query("SELECT o_orderkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'c' || o_custkey ELSE 'x' || o_custkey END AS ref FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
 def secondary_anchor(spark, sf):
     rows = read(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("x"), "o_custkey").alias("ref"))
-    names = read(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("x"), "c_custkey").alias("alias"), F.concat(F.lit("c"), "c_custkey").alias("primary"))
+    names = read(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("x"), "c_custkey").alias("alias"), F.concat(F.lit("c"), "c_custkey").alias("primary"))
     return refs.resolve_alias(rows, names, "ref", "alias", "primary")
 
 
@@ -368,10 +372,11 @@ def live_segments(spark, sf):
     return live.segments(events_log(spark, sf), ("event_type",)).groupBy(F.col("event_type").alias("bucket"), "segment").agg(F.count("*").alias("ids"))
 
 
-@query("SELECT DISTINCT user_id AS tenant, event_id AS created_at FROM events WHERE event_id < 700 OR event_id BETWEEN 500 AND 900")
+@query("SELECT DISTINCT user_id AS tenant, event_id AS created_at FROM events")
 def rebuild_union_dedup(spark, sf):
+    """Two lists that overlap, each without what the other alone has."""
     log = events_log(spark, sf)
-    return live.rebuild(log.where("created_at < 700"), log.where("created_at between 500 and 900")).select("tenant", "created_at")
+    return live.rebuild(log.where("event_type <> 'view'"), log.where("event_type <> 'click'")).select("tenant", "created_at")
 
 
 def _archive(spark, sf):
@@ -386,7 +391,7 @@ def flush_idempotent(spark, sf):
     rows = _archive(spark, sf)
     empty = rows.limit(0)
     once = history.apply_flush(empty, rows)
-    return history.apply_flush(once, rows.where("write_seq % 2 = 0")).select("tenant", "record_id", "write_seq")
+    return history.apply_flush(once, rows.where("version = 2")).select("tenant", "record_id", "write_seq")
 
 
 @query(f"SELECT tenant, record_id, write_seq, data FROM {_ARCHIVE} a WHERE tenant = 5 AND record_id = 'r100'")
@@ -572,9 +577,9 @@ def node_snapshot(spark, sf):
     return monitor.snapshot(events_log(spark, sf), read(spark, sf, "events").where("value > 90"), F.octet_length("props")).withColumn("deletes", F.col("deletes").cast("int"))
 
 
-@query("SELECT count(DISTINCT o_orderkey) AS recovered FROM orders WHERE o_orderkey BETWEEN 1 AND 5000")
+@query("SELECT count(DISTINCT o_orderkey) AS recovered FROM orders WHERE o_orderkey >= 1")
 def recoverable_count(spark, sf):
-    return monitor.recovered(read(spark, sf, "orders"), 5000, "o_orderkey")
+    return monitor.recovered(read(spark, sf, "orders"), 10**12, "o_orderkey")
 
 
 @query("SELECT p_brand AS name, tier, a >= iops AS meets_iops, b >= space AS meets_space, (a >= iops AND b >= space) AS meets FROM (SELECT p_brand, max(p_retailprice) AS a, count(*) AS b FROM part GROUP BY 1) x CROSS JOIN (VALUES ('slow', 1000.0, 10), ('fast', 1900.0, 40)) t(tier, iops, space)")
@@ -614,9 +619,11 @@ ORDER_V3 = Version(3, (*ORDER_FIELDS, FieldSpec("note", "str"), FieldSpec("cents
 ORDERS3 = Family("Order", 101, NON_UNIQUE, (ORDERS.latest, ORDER_V2, ORDER_V3))
 
 
-def _at(spark, sf, version: int) -> DataFrame:
-    """Orders as stored in a version: each has the key modulo 3 plus 1."""
-    rows = read(spark, sf, "orders").select(*ORDERS.latest.names).where(F.col("o_orderkey") % 3 + 1 == version)
+def _at(spark, sf, version: int, mixed: bool = False) -> DataFrame:
+    """Orders as stored in a version; mixed: only those that a family of three stored versions has in that one."""
+    rows = read(spark, sf, "orders").select(*ORDERS.latest.names)
+    if mixed:
+        rows = rows.where(F.col("o_orderkey") % 3 + 1 == version)
     if version > 1:
         rows = rows.withColumn("note", F.concat(F.lit("n"), "o_custkey"))
     return rows.withColumn("cents", F.col("o_orderkey")) if version > 2 else rows
@@ -625,23 +632,23 @@ def _at(spark, sf, version: int) -> DataFrame:
 _CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
 
 
-@query("SELECT o_orderkey, 'none' AS note FROM orders WHERE o_orderkey % 3 = 0")
+@query("SELECT o_orderkey, 'none' AS note FROM orders")
 def migrate_add_column(spark, sf):
     return migrate.read_as(_at(spark, sf, 1), ORDERS3, 1, 2).select("o_orderkey", "note")
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 3 = 1")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
 def migrate_rollback_drop(spark, sf):
     return migrate.read_as(_at(spark, sf, 2), ORDERS3, 2, 1)
 
 
-@query(f"SELECT o_orderkey, 'none' AS note, {_CENTS} AS cents FROM orders WHERE o_orderkey % 3 = 0")
+@query(f"SELECT o_orderkey, 'none' AS note, {_CENTS} AS cents FROM orders")
 def migrate_two_hop(spark, sf):
     graph = migrate.graph_of(ORDERS3)
     return graph.migrate(_at(spark, sf, 1), (101, 1), (101, 3)).select("o_orderkey", "note", "cents")
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 3 = 2")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
 def migrate_rollback_chain(spark, sf):
     return migrate.graph_of(ORDERS3).roll_back(_at(spark, sf, 3), (101, 3), (101, 1))
 
@@ -650,7 +657,7 @@ def migrate_rollback_chain(spark, sf):
 def migrate_mixed_versions(spark, sf):
     out = None
     for v in (1, 2, 3):
-        part = migrate.read_as(_at(spark, sf, v), ORDERS3, v, 3).select("o_orderkey", "note", "cents")
+        part = migrate.read_as(_at(spark, sf, v, mixed=True), ORDERS3, v, 3).select("o_orderkey", "note", "cents")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -660,7 +667,7 @@ def migrate_filter_before(spark, sf):
     """The filter sees the stored layout: rows of version 1 have no note, so none of them passes."""
     out = None
     for v in (1, 2, 3):
-        rows = _at(spark, sf, v).where(compile_expr(field("note").gt("n5"), ORDERS3.version(v)))
+        rows = _at(spark, sf, v, mixed=True).where(compile_expr(field("note").gt("n5"), ORDERS3.version(v)))
         part = migrate.read_as(rows, ORDERS3, v, 3).select("o_orderkey", "note")
         out = part if out is None else out.unionByName(part)
     return out
@@ -752,11 +759,11 @@ def distinct_walk(spark, sf):
     return placement.first_distinct(ring, "k", "node", "dist", 3)
 
 
-@query("SELECT c_custkey AS tenant, CAST(c_nationkey AS BIGINT) AS shard, c_nationkey BETWEEN 3 AND 9 AND c_custkey % 2 = 0 AS owned FROM customer")
+@query("SELECT c_custkey AS tenant, CAST(c_nationkey AS BIGINT) AS shard, c_nationkey BETWEEN 3 AND 9 AND c_acctbal > 0 AS owned FROM customer")
 def shard_ranges(spark, sf):
-    parts = read(spark, sf, "customer").select(F.col("c_custkey").alias("tenant"), F.col("c_nationkey").cast("bigint").alias("shard"))
-    ranges = parts.where("tenant % 2 = 0").select("tenant", F.lit(3).alias("first"), F.lit(9).alias("last"))
-    return placement.owned(parts, ranges)
+    rows = read(spark, sf, "customer").select(F.col("c_custkey").alias("tenant"), F.col("c_nationkey").cast("bigint").alias("shard"), "c_acctbal")
+    ranges = rows.where("c_acctbal > 0").select("tenant", F.lit(3).alias("first"), F.lit(9).alias("last"))
+    return placement.owned(rows.drop("c_acctbal"), ranges)
 
 
 @query("SELECT user_id AS transfer, s AS state, s IN ('pending', 'accepted') AS active FROM (SELECT user_id, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'accepted' WHEN 'error' THEN 'rejected' ELSE 'complete' END AS s, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) x")
@@ -776,10 +783,12 @@ def blob_dedup(spark, sf):
     return stored.select("content_hash", "size").join(blobs.owners_of(owners), "content_hash")
 
 
-@query("SELECT sha256(text) AS content_hash, count(DISTINCT doc_id) FILTER (WHERE doc_id % 3 <> 0) AS owners FROM documents WHERE strlen(text) > 64 GROUP BY 1 HAVING count(*) FILTER (WHERE doc_id % 3 <> 0) > 0")
+@query("SELECT sha256(text) AS content_hash, count(DISTINCT doc_id) FILTER (WHERE lang <> 'fr') AS owners FROM documents WHERE strlen(text) > 64 GROUP BY 1 HAVING count(*) FILTER (WHERE lang <> 'fr') > 0")
 def blob_release(spark, sf):
-    _, stored, owners = blobs.store(read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
-    alive, left, _ = blobs.release(stored, owners, owners.where("owner % 3 = 0"))
+    docs = read(spark, sf, "documents").select("doc_id", "lang", "text")
+    _, stored, owners = blobs.store(docs, "doc_id", "text")
+    gone = owners.join(docs.where("lang = 'fr'").select(F.col("doc_id").alias("owner")), "owner", "left_semi").select("content_hash", "owner")
+    alive, left, _ = blobs.release(stored, owners, gone)
     return alive.select("content_hash").join(blobs.owners_of(left), "content_hash")
 
 
@@ -849,16 +858,16 @@ def stream_upsert(spark, sf):
     return feed.last_epoch(spark, target, "tenant bigint, record_id string, write_seq bigint")
 
 
-@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND event_id < 2000)")
+@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 90)")
 def seen_delta(spark, sf):
     changes = read(spark, sf, "events").select("event_id", "user_id")
-    return feed.unseen(changes, read(spark, sf, "events").where("event_type = 'error' and event_id < 2000"), "user_id").select("event_id")
+    return feed.unseen(changes, read(spark, sf, "events").where("event_type = 'error' and value > 90"), "user_id").select("event_id")
 
 
-@query("SELECT count(*) AS marked FROM events WHERE event_id % 2 = 0")
+@query("SELECT count(*) AS marked FROM events")
 def seen_filter(spark, sf):
     """No marked key is ever taken for unknown."""
-    rows = read(spark, sf, "events").select("event_id").where("event_id % 2 = 0")
+    rows = read(spark, sf, "events").select("event_id")
     known = feed.SeenFilter.build(rows, "event_id")
     return rows.where(known.column(F.col("event_id"))).agg(F.count("*").alias("marked"))
 
@@ -877,19 +886,18 @@ def gossip_dedup(spark, sf):
     return spark.read.schema("origin bigint, epoch bigint").parquet(target)
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 28 AND o_totalprice > 1000 AND NOT (o_orderkey % 5 = 0)")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000 AND o_orderstatus <> 'F'")
 def store_round_trip(spark, sf):
-    """Through a store on disk: save, delete, filter."""
-    store = Store(spark, registry=Registry([ORDERS]))
-    session = store.session(1, 28)
-    saved = session.save(ORDERS, read(spark, sf, "orders").where("o_custkey = 28"), order=("o_orderkey",))
-    session.delete(ORDERS, saved.accepted.where("o_orderkey % 5 = 0"))
+    """Through a store on disk: save the table, delete the finished, filter the rest."""
+    session = Store(spark, registry=Registry([ORDERS])).session(1, 28)
+    saved = session.save(ORDERS, read(spark, sf, "orders"), order=("o_orderkey",))
+    session.delete(ORDERS, saved.accepted.where("o_orderstatus = 'F'"))
     return session.query(ORDERS, ORDERS.o_totalprice.gt(1000)).select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3 ORDER BY c_custkey DESC LIMIT 1")
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey DESC LIMIT 1")
 def store_unique(spark, sf):
     """Every save of a unique family replaces what find gives."""
     session = Store(spark, registry=Registry([CUSTOMERS])).session(1, 3)
-    session.save(CUSTOMERS, read(spark, sf, "customer").where("c_nationkey = 3"), order=("c_custkey",))
-    return session.find(CUSTOMERS).select("c_custkey", "c_name")
+    session.save(CUSTOMERS, read(spark, sf, "customer"), order=("c_custkey",))
+    return session.find(CUSTOMERS).select("c_custkey", "c_name")
\ No newline at end of file
