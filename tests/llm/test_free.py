@@ -235,6 +235,19 @@ def test_join_brute(spark):
     assert _joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
 
 
+def test_join_frequent(spark):
+    """Shingles that a fortieth of the documents have don't meet in one task; results stay the same."""
+    rng = random.Random(21)
+    line, base = prose(rng, 12), prose(rng, 40)
+    rows = [line + " " + prose(rng, rng.randrange(0, 20)) for _ in range(150)] + [_edited(rng, base, rng.randrange(0, 3)) for _ in range(120)] + [base] * 30 + [line] * 10
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    toks, times = jaccard.frequent(jaccard.members(df))
+    assert len(toks) >= 8 and (np.diff(toks.astype(np.int64)) > 0).all() and times.max() <= 310
+    assert _joined(df) == brute_components(rows)
+
+
 def test_join_chain(spark):
     """Neighbours link, ends don't: one component without all pairs."""
     rng = random.Random(5)
