@@ -116,14 +116,16 @@ class Session:
             raise Unsupported(f"{family.name}: no columns {missing}")
         extra = [c for c in ("device", "permission") if c in rows.columns]
         good, bad = run_hooks(rows.select(*wanted.names, *extra), family, wanted)
-        bad = materialise(bad, "rejects")
-        bad.write.mode("append").parquet(f"{self.store.root}/rejects")
+        if wanted.checks or wanted.late_checks:
+            bad = materialise(bad, "rejects")
+            bad.write.mode("append").parquet(f"{self.store.root}/rejects")
+        else:
+            bad = self.store.spark.createDataFrame([], REJECTS)
         new = minted(good, family, self.tenant, list(order or wanted.names), self.store.log.last_seq(family))
         new = new.withColumn("user", F.lit(self.user))
         for name, kind in (("device", "bigint"), ("permission", permissions.PERMISSION)):
             new = new if name in extra else new.withColumn(name, F.lit(None).cast(kind))
-        new = materialise(new, "accepted")
-        self.store.log.append(family, wanted.number, new)
+        self.store.log.append(family, wanted.number, new)  # numbered rows are a table already: what is returned reads that
         return Saved(new, bad)
 
     def delete(self, family: Family, ids: DataFrame) -> DataFrame:
@@ -136,7 +138,6 @@ class Session:
         base = self.store.log.last_seq(family)
         numbered = minted(gone.withColumn("__at", F.col("created_at")), family, None, ["__at"], base)
         marks = numbered.withColumn("created_at", F.col("__at")).withColumn("op", F.lit("D")).withColumn("user", F.lit(self.user)).drop("__at")
-        marks = materialise(marks, "tombstones")
         empty = family.latest
         blank = marks.select("*", F.lit(None).cast("bigint").alias("device"), F.lit(None).cast(permissions.PERMISSION).alias("permission"), *(F.lit(None).cast(f.data_type).alias(f.name) for f in empty.fields))
         self.store.log.append(family, empty.number, blank)
