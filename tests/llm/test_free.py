@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +116,20 @@ def test_secrets_found(spark):
     assert not any(r["doc_id"] == 3 for r in got)
 
 
+def test_long_runs(spark):
+    rng = random.Random(7)
+    texts, kinds = [], []
+    for n in (128, 129, 200, 201, 256, 300, 344, 1000, 20_000):
+        for kind, alphabet in (("hex", "0123456789abcdef"), ("base64", string.ascii_letters + string.digits + "+/")):
+            texts.append("".join(rng.choice(alphabet) for _ in range(n)) + ("==" if kind == "base64" else ""))
+            kinds.append(kind)
+    rows = [(i, before + " " + t + " here", "src/a.py") for before in ("the secret key is", "integrity sha512 checksum") for i, t in enumerate(texts)]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    got = {r["doc_id"]: r for r in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), secret_scan.fit(spark)).collect()}
+    assert [(got[i]["kind"], got[i]["secret"]) for i in range(len(rows))] == list(zip(kinds, texts, strict=True)) * 2
+    assert [got[i]["is_secret"] for i in range(len(rows))] == [True] * len(texts) + [False] * len(texts)
+
+
 def test_secrets_odd(spark, clashing, empty):
     forest = secret_scan.fit(spark)
     assert secret_scan.secret_scan(clashing, forest).count() == 0 and secret_scan.secret_scan(empty, forest).count() == 0
