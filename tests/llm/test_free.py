@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +131,31 @@ def test_long_runs(spark):
     assert [got[i]["is_secret"] for i in range(len(rows))] == [True] * len(texts) + [False] * len(texts)
 
 
+def test_keyword_in_identifier(spark):
+    names = ["DB_PASSWORD=", "MYSQL_ROOT_PASSWORD=", "client_secret: ", "secret_key=", "secretKey: ", "private_key=", "password=", "spring.datasource.password = ", '"accessToken": ', "token_prod := ", "privateKey => ", "aws-secret-access-key: ", "é_apiKey="]
+    values = [v for v in ("kT9xq2Zp7", "x9Vb3LmQ7tR2") for _ in names]
+    texts = [f"{n}{v}\nnext line" for n, v in zip(names * 2, values, strict=True)]
+    texts += ["password=83748291", "token: 194756203857", "password=qzxvkwpjrt", "DB_PASSWORD=Sunshine84!"]
+    values += ["83748291", "194756203857", "qzxvkwpjrt", "Sunshine84!"]
+    refused = ["tokenizer = AutoTokenizer.load(path)", "The secretary: Margaret wrote", "max_tokens: required", "DB_PASSWORD=changeme", "mysql_password = ${DB_PASSWORD}"]
+    df = spark.createDataFrame([(i, t, "src/a.py") for i, t in enumerate(texts + refused)], "doc_id long, text string, source string")
+    got = secret_scan.secret_scan(df, secret_scan.fit(spark)).collect()
+    assert [r["secret"] for r in sorted(got, key=lambda r: r["doc_id"]) if r["is_secret"]] == values
+    assert {r["doc_id"] for r in got if not r["is_secret"]} == set(range(len(texts), len(texts + refused)))
+
+
+def test_keyword_before_private_key():
+    text = '{"private_key": "-----BEGIN PRIVATE KEY-----", "note": 1}'
+    assert [k for k, _, _ in secret_scan.candidates(text)] == ["private_key"]
+
+
+def test_candidates_linear():
+    for text in ("pwd" * 300_000, "pwd-" * 200_000, "token=" + "\t" * 500_000, "token" + " " * 500_000 + "x", "secret." * 100_000 + "= abcdefg", "f" * 500_000, "aB3+" * 200_000):
+        began = time.process_time()
+        list(secret_scan.candidates(text))
+        assert time.process_time() - began < 5
+
+
 def test_secrets_odd(spark, clashing, empty):
     forest = secret_scan.fit(spark)
     assert secret_scan.secret_scan(clashing, forest).count() == 0 and secret_scan.secret_scan(empty, forest).count() == 0
