@@ -16,6 +16,8 @@ import math
 import random
 import re
 import string
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -100,20 +102,32 @@ def covered(text: str, words: frozenset[str] = DICTIONARY) -> float:
 
 def features(kind: str, found: str, path: str, before: str, after: str, transitions: Transitions) -> list[float]:
     n = max(1, len(found))
-    head = found[:256]
-    kinds = [_kind(c) for c in head]
-    counts = Counter(head)
-    entropy = -sum(v / len(head) * math.log2(v / len(head)) for v in counts.values()) if head else 0.0
+    kinds = [_kind(c) for c in found]
+    counts = Counter(found)
+    entropy = -sum(v / n * math.log2(v / n) for v in counts.values())
     return [
-        math.log(n), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, len(kinds) - 1), entropy, transitions.mean(head), kinds.count(2) / max(1, len(kinds)), kinds.count(1) / max(1, len(kinds)),
-        len(counts) / max(1, len(head)), covered(head), float(bool(_MASKED.search(head))), float(bool(_SAYS_SAMPLE.search(path))), float(path.endswith((".py", ".js", ".env", ".yml", ".yaml", ".json", ".conf"))),
+        math.log(n), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, len(kinds) - 1), entropy, transitions.mean(found), kinds.count(2) / max(1, len(kinds)), kinds.count(1) / max(1, len(kinds)),
+        len(counts) / n, covered(found), float(bool(_MASKED.search(found))), float(bool(_SAYS_SAMPLE.search(path))), float(path.endswith((".py", ".js", ".env", ".yml", ".yaml", ".json", ".conf"))),
         float(bool(_SAYS_SECRET.search(before))), float(bool(_SAYS_SAMPLE.search(before))), float(bool(_SAYS_HASH.search(before))), float(bool(_SAYS_SAMPLE.search(after))), *(float(kind == k) for k in KINDS),
     ]
 
 
-def neighbours(text: str, start: int, end: int, reach: int = 48) -> tuple[str, str]:
-    """The last and the next three words around a place."""
-    return " ".join(_WORD.findall(text[max(0, start - reach) : start])[-3:]), " ".join(_WORD.findall(text[end : end + reach])[:3])
+def word_places(text: str) -> tuple[array, array]:
+    """Starts and ends of the words of a text."""
+    starts, ends = array("q"), array("q")
+    for m in _WORD.finditer(text):
+        starts.append(m.start())
+        ends.append(m.end())
+    return starts, ends
+
+
+def neighbours(text: str, places: tuple[array, array], start: int, end: int) -> tuple[str, str]:
+    """The last and the next three words around a place, however far away; a word across its edge counts with the part outside."""
+    starts, ends = places
+    k, m = bisect_left(starts, start), bisect_right(ends, end)
+    before = [text[starts[i] : min(ends[i], start)] for i in range(max(0, k - 3), k)]
+    after = [text[max(starts[i], end) : ends[i]] for i in range(m, min(len(ends), m + 3))]
+    return " ".join(before), " ".join(after)
 
 
 @dataclass(frozen=True)
@@ -255,10 +269,12 @@ def secret_scan(docs: DataFrame, forest: Forest, columns: tuple[str, ...] = ("do
             paths = batch.column(2)
             for i, value in enumerate(batch.column(1)):
                 text = value.as_py()
+                places = None
                 for kind, start, end in candidates(text):
+                    places = places or word_places(text)
                     of.append(i)
                     found.append((kind, start, end, text[start:end]))
-                    x.append(features(kind, text[start:end], paths[i].as_py(), *neighbours(text, start, end), transitions))
+                    x.append(features(kind, text[start:end], paths[i].as_py(), *neighbours(text, places, start, end), transitions))
             if found:
                 score = forest_.score(np.array(x))
                 cells = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))]

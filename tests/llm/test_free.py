@@ -156,6 +156,27 @@ def test_candidates_linear():
         assert time.process_time() - began < 5
 
 
+def test_features_of_whole_candidates():
+    t = secret_scan.Transitions.learn()
+    head = "kT9xq2Zp" * 32
+    one, two = (dict(zip(secret_scan.FEATURES, secret_scan.features("assigned", head + tail, "", "", "", t), strict=True)) for tail in ("R7vLw3Qm" * 8, "example0" * 8))
+    assert {k for k in one if one[k] != two[k]} >= {"entropy", "pairs", "digits", "upper", "distinct", "dictionary", "masked"}
+    assert secret_scan.features("hex", "", "", "", "", t)[:3] == [0.0, 0.0, 0.0]
+
+
+@given(st.text("ab1 =\n", max_size=60), st.integers(0, 60), st.integers(0, 60))
+def test_neighbours(text, a, b):
+    a, b = sorted((min(a, len(text)), min(b, len(text))))
+    words = lambda x: re.findall("[A-Za-z]+", x)
+    assert secret_scan.neighbours(text, secret_scan.word_places(text), a, b) == (" ".join(words(text[:a])[-3:]), " ".join(words(text[b:])[:3]))
+
+
+def test_neighbours_far():
+    text = "the secret key" + " " * 500 + "1" * 40 + "\n" * 500 + "of this example"
+    (_, start, end), *_ = secret_scan.candidates(text)
+    assert secret_scan.neighbours(text, secret_scan.word_places(text), start, end) == ("the secret key", "of this example")
+
+
 def test_secrets_odd(spark, clashing, empty):
     forest = secret_scan.fit(spark)
     assert secret_scan.secret_scan(clashing, forest).count() == 0 and secret_scan.secret_scan(empty, forest).count() == 0
