@@ -6,7 +6,8 @@ the driver from at most max_rows labelled findings (those with the smallest hash
 parameters. Scanning is one pass over whole texts, without shuffle.
 
 Defined results. Null text counts as empty: no candidates. No pattern has an upper length; the forest weighs a candidate's length. A candidate inside another one of the same place is reported once, by the first
-pattern of the list. Null path counts as empty. Repeated rows are scanned each on its own. Without findings of both kinds
+pattern of the list. Null path counts as empty. Repeated rows are scanned each on its own.
+A private key ends with its END line or, without one, with its last line of base64. Without findings of both kinds
 the score is the share of true ones among those there are, or one.
 """
 
@@ -32,7 +33,8 @@ from strata.runtime import ship
 
 #: Public formats of credentials. The secret is the last group that matched.
 PATTERNS = {
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    # through the END line if no other line of dashes stands before it, else through the lines of base64 that follow (line feeds may be escaped)
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\[nr])+(?:Proc-Type|DEK-Info|Comment): [^\n\\]*)*(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{32,}+={0,2})+(?:(?:\s|\\[nr])+(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{4}|[A-Za-z0-9+/]{3}=|[A-Za-z0-9+/]{2}==)(?![A-Za-z0-9+/=]))?)?",
     "aws_access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b",
     "slack_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}\b",
@@ -210,6 +212,7 @@ def made_findings(n: int = 2400, seed: int = 3) -> list[dict]:
         lambda: ("slack_token", "xoxb-" + some(string.digits, 11) + "-" + some(mixed, 24), rng.choice(["slack token", said()])),
         lambda: ("jwt", "eyJ" + some(mixed, 17) + "." + "eyJ" + some(mixed, 40) + "." + some(mixed, 43), rng.choice(["bearer", "auth", said()])),
         lambda: ("private_key", "-----BEGIN RSA PRIVATE KEY-----", said()),
+        lambda: ("private_key", "-----BEGIN PRIVATE KEY-----\n" + "\n".join(some(mixed + "+/", 64) for _ in range(rng.randrange(2, 50))) + rng.choice(["", "\n-----END PRIVATE KEY-----"]), rng.choice(["", said()])),
         lambda: ("base64", some(mixed + "+/", 40), rng.choice(["secret key", "auth token", "access key"])),
         lambda: ("hex", some(hex_, rng.choice([32, 40, 64])), rng.choice(["secret key", "api token", "access key"])),
         lambda: ("base64", some(mixed + "+/", rng.choice([86, 171, 201, 344, 684, 1000, 1368])), rng.choice(["secret key", "auth token", "", said()])),

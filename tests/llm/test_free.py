@@ -149,8 +149,27 @@ def test_keyword_before_private_key():
     assert [k for k, _, _ in secret_scan.candidates(text)] == ["private_key"]
 
 
+def test_private_key_span(spark):
+    rng = random.Random(8)
+    made = lambda k, n: ["".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(n)) for _ in range(k)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    whole = "\n".join([begin, *made(12, 64), made(1, 22)[0] + "==", end])
+    encrypted = "\n".join([begin, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", *made(12, 64), end])
+    escaped = whole.replace("\n", "\\n")
+    cut = "\n".join([begin, *made(12, 64), made(1, 22)[0] + "=="])
+    short = "\n".join([begin, *made(3, 64)])
+    want = [[whole], [encrypted], [escaped], [cut], [short, whole], [begin], [whole, whole]]
+    texts = [whole + "\nafter", encrypted, f'{{"private_key": "{escaped}\\n", "a": 1}}', cut + "\nThe words after", short + "\n" + whole, begin + " is how a key begins\nand words", whole + "\n" + whole]
+    df = spark.createDataFrame([(i, "of that: " + t, "src/a.py") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = collections.defaultdict(list)
+    for r in sorted(secret_scan.secret_scan(df, secret_scan.fit(spark)).collect(), key=lambda r: (r["doc_id"], r["start"])):
+        assert r["kind"] == "private_key" and r["is_secret"]
+        got[r["doc_id"]].append(r["secret"])
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_candidates_linear():
-    for text in ("pwd" * 300_000, "pwd-" * 200_000, "token=" + "\t" * 500_000, "token" + " " * 500_000 + "x", "secret." * 100_000 + "= abcdefg", "f" * 500_000, "aB3+" * 200_000):
+    for text in ("-----BEGIN PRIVATE KEY-----\n" * 20_000, "-----BEGIN PRIVATE KEY-----" + "\n" * 300_000, ("-----BEGIN PRIVATE KEY-----\n" + "a" * 64 + "\n") * 5_000 + "b" * 300_000, "pwd" * 300_000, "pwd-" * 200_000, "token=" + "\t" * 500_000, "token" + " " * 500_000 + "x", "secret." * 100_000 + "= abcdefg", "f" * 500_000, "aB3+" * 200_000):
         began = time.process_time()
         list(secret_scan.candidates(text))
         assert time.process_time() - began < 5
