@@ -6,7 +6,7 @@ document, template and diagonal (place in the text minus place in the template).
 lets words be missing or added, and a span with enough votes is verified against the words of the text.
 
 Defined results. Null text counts as empty: no words, no places, empty labels, score 0. A phrase counts at every place where all its words
-stand consecutively. Rows with equal doc_id and text share their votes (which only propose spans) and get equal results.
+stand consecutively. Of notices of unlike labels in the same place, those of the highest coverage count. Rows with equal doc_id and text share their votes (which only propose spans) and get equal results.
 
 Skew: the join is a broadcast join; votes are counted on the map side first and are then dealt by document and template. Texts are shuffled once,
 to meet their spans, in a join whose large partitions AQE splits.
@@ -111,6 +111,11 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices
     rows = docs.select(F.struct(*(col(c) for c in columns)).alias("row"), text_of(text_col).alias("text"), col(id_col).cast("long").alias("doc"), row_hash(text_of(text_col)).alias("hash"))
     met = rows.join(spans, F.col("doc").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left").select("row", "text", "spans")
 
+    def outdone(f: dict, g: dict) -> bool:
+        """Whether another label's notice g is covered better in the same place: half of the shorter span or more lies in both."""
+        shared = min(f["start"] + f["words"], g["start"] + g["words"]) - max(f["start"], g["start"])
+        return not g["base"] and f["label"] != g["label"] and g["coverage"] > f["coverage"] and 2 * shared >= min(f["words"], g["words"])
+
     def verify(words: list[str], spans_: list[dict]) -> list[dict]:
         out = []
         for s in spans_:
@@ -124,7 +129,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices
             coverage = sum(m.size for m in same) / len(wanted)
             if coverage >= least_coverage:
                 out.append({"label": label, "start": a + same[0].b, "words": same[-1].b + same[-1].size - same[0].b, "coverage": coverage, "base": False})
-        return out
+        return [f for f in out if f["base"] or not any(outdone(f, g) for g in out)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -452,6 +452,16 @@ def test_licenses_found(spark):
     assert len(got[6]) == 2 and all(len(r["found"]) == 1 for r in got[6]) and len(got[None][0]["found"]) == 1
 
 
+def test_notices_told_apart(spark):
+    """The GPL and LGPL notices share most words; each is found as itself, also side by side and with words missing."""
+    text = {v: k for k, v in license_scan.NOTICES.items()}
+    drop = lambda x: " ".join(w for i, w in enumerate(x.split()) if i not in (5, 6))
+    rows = list(enumerate([text["gpl"], text["lgpl"], text["gpl"] + " . " + text["lgpl"], text["lgpl"] + " and " + text["gpl"], drop(text["gpl"]), drop(text["lgpl"]), *license_scan.NOTICES]))
+    got = {r["doc_id"]: [f["label"] for f in sorted(r["found"], key=lambda f: f["start"]) if not f["base"]] for r in _licenses(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert [got[i] for i in range(6)] == [["gpl"], ["lgpl"], ["gpl", "lgpl"], ["lgpl", "gpl"], ["gpl"], ["lgpl"]]
+    assert [got[6 + i] for i in range(len(license_scan.NOTICES))] == [[v] for v in license_scan.NOTICES.values()]
+
+
 def test_licenses_odd(spark, clashing, empty):
     rows = _licenses(clashing)
     assert len(rows) == clashing.count() and not any(r["found"] for r in rows)
