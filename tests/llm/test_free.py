@@ -196,6 +196,22 @@ def test_neighbours_far():
     assert secret_scan.neighbours(text, secret_scan.word_places(text), start, end) == ("the secret key", "of this example")
 
 
+def test_secrets_query(spark, documents, tmp_path):
+    """All rows of the registered query over the documents and made ones: each one's candidates with the verdicts of a forest trained here."""
+    made = [(10**9 + i, f"{r['before']} {r['candidate']} {r['after']}\npassword = {r['candidate']}", r["path"]) for i, r in enumerate(secret_scan.made_findings(300, seed=12))]
+    documents = documents.select("doc_id", "text", "source").union(spark.createDataFrame(made, "doc_id long, text string, source string"))
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    t, forest = secret_scan.Transitions.learn(), secret_scan.fit(spark)
+    want = collections.Counter()
+    for r in documents.collect():
+        text = r["text"] or ""
+        for kind, start, end in secret_scan.candidates(text):
+            x = secret_scan.features(kind, text[start:end], r["source"] or "", *secret_scan.neighbours(text, secret_scan.word_places(text), start, end), t)
+            want[r["doc_id"], kind, start, end, text[start:end], bool(forest.score(np.array([x]))[0] >= 0.5)] += 1
+    got = collections.Counter((r["doc_id"], r["kind"], r["start"], r["end"], r["secret"], r["is_secret"]) for r in QUERIES["op3_secret_scan"](spark, str(tmp_path)).collect())
+    assert got == want and want
+
+
 def test_secrets_odd(spark, clashing, empty):
     forest = secret_scan.fit(spark)
     assert secret_scan.secret_scan(clashing, forest).count() == 0 and secret_scan.secret_scan(empty, forest).count() == 0
@@ -472,6 +488,11 @@ def test_licenses_odd(spark, clashing, empty):
 # --- pipeline
 
 
+def test_jaccard_query(spark, sf, documents):
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in QUERIES["op7_jaccard_join"](spark, sf).collect())
+    assert got == brute_components([(r["doc_id"], r["text"]) for r in documents.collect()])
+
+
 def test_pipeline(spark, sf, documents):
     docs, names = documents, documents.columns
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
