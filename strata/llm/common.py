@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,29 +25,91 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of the machine's own only where none is set, as in tests."""
+    """The folder that driver and executors share. Only a local master may do without: there it is a new folder of the machine's own, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: with the master {master} it must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strata-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_SCRATCH: set[str] = set()
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Drops the shuffle files of a write as soon as it is done. Nothing reads them again: the table stands in for them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strata-llm/{uuid.uuid4().hex}/{name}"
+    """A new path in the application's scratch folder, which is removed when the driver's process ends in good order."""
+    scratch = f"{shared_dir(spark)}/strata-llm/{spark.sparkContext.applicationId}"
+    if scratch not in _SCRATCH:
+        _SCRATCH.add(scratch)
+        atexit.register(_at_exit, spark, scratch)
+    return f"{scratch}/{uuid.uuid4().hex}/{name}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage with a table in the shared folder, so that a lost executor costs no recomputation from the start."""
-    path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _at_exit(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may have gone before
+        delete(spark, path)
+
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files that no live DataFrame refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage with a table in the shared folder, so that a lost executor costs no recomputation from the start."""
+    spark, path = df.sparkSession, stage_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(table_: DataFrame) -> None:
+    """Removes a table that materialise() wrote and that nothing will read any more."""
+    if path := _PATHS.pop(table_, None):
+        delete(table_.sparkSession, path)
+
+
+def literal(path: str) -> str:
+    """The path for readers that take patterns: its own characters only."""
+    return re.sub(r"([*?\[\]{}\\,])", r"\\\1", path.rstrip("/"))
+
+
+def among(keys: DataFrame, key: str, most_bits: int = 1 << 26) -> Callable[[Column], Column]:
+    """A test that holds for all 64-bit hashes in a table's column, and for few others: a bit each, in one array of at most most_bits / 8 bytes.
+
+    With n hashes at most n / most_bits of all others pass, or a 16th while the array can grow. What passes is joined
+    exactly afterwards, so only the number of rows that are shuffled depends on it.
+    """
+    spark, n = keys.sparkSession, keys.count()
+    if not n:
+        return lambda _: F.lit(False)
+    bits = min(most_bits, 1 << max(16, (16 * n - 1).bit_length()))
+    place = lambda k: F.pmod(k, F.lit(bits))
+    word = lambda k: F.shiftright(place(k), 6).cast("int")
+    bit = lambda k: place(k).bitwiseAND(F.lit(63)).cast("int")
+    marks = keys.select(word(col(key)).alias("w"), bit(col(key)).alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("x"))
+    dense = spark.range(bits // 64).select(F.col("id").cast("int").alias("w")).join(marks, "w", "left").select("w", F.shiftright("w", 10).alias("block"), F.coalesce("x", F.lit(0)).cast("long").alias("x"))
+    sorted_ = lambda at: F.transform(F.sort_array(F.collect_list(F.struct(at, "x"))), lambda p: p["x"])
+    blocks = dense.groupBy("block").agg(sorted_("w").alias("x"))
+    array = materialise(blocks.agg(F.flatten(sorted_("block")).alias("x")), "key-bits").scalar()
+    return lambda k: F.getbit(F.get(array, word(k)), bit(k)) == 1
 
 
 def col(name: str) -> Column:

@@ -5,8 +5,11 @@ for each SHA-256 digest of the normalised text: the count, the stable identifier
 (file and row) of the row that stays. Every row whose digest has been seen more than once is a hit; its full bytes are
 compared with the bytes found at the locator. Rows that differ in spite of equal digests are grouped by their full text.
 
+Digests travel, texts don't: only the texts of hits are shuffled, found in the scan by their locators.
+
 Defined results. Null text counts as empty. Null doc_id sorts before every other. Of rows with equal text and equal
-doc_id, the one in the later file position stays. An empty table gives no rows. Further columns of the input are not read.
+doc_id, the one in the later file position stays. An empty table gives no rows. Further columns of the input are not read, whatever
+their names. Texts of any length are hashed and compared whole. The path is taken literally, without patterns.
 
 Skew: the state holds one row a digest, and Spark aggregates on the map side before rows are dealt by digest. Hits are
 compared in joins whose large partitions AQE splits.
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import ascii_lower, col, materialise, stage_path, text_of
+from strata.llm.common import among, ascii_lower, col, delete, exists, literal, materialise, stage_path, text_of
 
 #: State on disk; all instances of an executor share one bounded cache and are closed soon after their query ends. Files aren't allocated ahead, and
 #: commits upload changes: small states in many partitions stay small.
@@ -34,7 +37,7 @@ STATE_SETTINGS = {
 def _glob(path: str) -> str:
     """A file stream takes no single file, but a pattern that matches one."""
     path = path.rstrip("/")
-    return f"{path[:-1]}[{path[-1]}]"
+    return f"{literal(path[:-1])}[{path[-1]}]"
 
 
 def normalised(text: str = "text") -> Column:
@@ -42,11 +45,15 @@ def normalised(text: str = "text") -> Column:
 
 
 def _located(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    meta = F.col("_metadata")
+    meta = df.metadataColumn("_metadata")
     place = F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row"))
     return df.select(col(id_col).cast("long").alias("doc_id"), place.alias("place"), normalised(text_col).alias("norm"))
 
 
+def _place_key(place: str) -> Column:
+    return F.xxhash64(F.col(place)["file"], F.col(place)["row"])
+
+
 def stream_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", checkpoint: str | None = None, max_bytes_per_trigger: str | None = None) -> DataFrame:
     """Digest, count, identifier and locator of every text, after the stream has taken all files under path.
 
@@ -55,7 +62,7 @@ def stream_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
     own = checkpoint is None
     checkpoint = checkpoint or stage_path(spark, "dedup-stream")
     out = checkpoint + "-state"
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = spark.readStream.schema(spark.read.parquet(literal(path)).schema)
     if max_bytes_per_trigger:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     rows = _located(reader.parquet(_glob(path)), id_col, text_col)
@@ -77,44 +84,39 @@ def stream_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
         if own:  # nobody goes on from it
-            _delete(spark, checkpoint)
+            delete(spark, checkpoint)
     schema = "digest string, group_size long, keep struct<doc_id:bigint,place:struct<file:string,row:bigint>>, epoch int"
-    updates = spark.read.schema(schema).option("basePath", out).parquet(out) if _exists(spark, out) else spark.createDataFrame([], schema)
+    updates = spark.read.schema(schema).option("basePath", out).parquet(out) if exists(spark, out) else spark.createDataFrame([], schema)
     if not max_bytes_per_trigger and updates.select("epoch").distinct().count() <= 1:
         return updates.drop("epoch")
     return materialise(updates.groupBy("digest").agg(F.max_by(F.struct("group_size", "keep"), "epoch").alias("x")).select("digest", "x.*"), "dedup-state")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", checkpoint: str | None = None, max_bytes_per_trigger: str | None = None) -> DataFrame:
     """One row per row under path: doc_id, keep_id, group_size, kept, text_sha256."""
-    state = stream_state(spark, path, id_col, text_col, checkpoint, max_bytes_per_trigger)
-    rows = _located(spark.read.parquet(path), id_col, text_col).withColumn("digest", F.sha2("norm", 256))
-    groups = state.where("group_size > 1")
-    hits = rows.join(groups.select(F.col("digest").alias("of"), "keep", "group_size"), F.col("digest") == F.col("of")).drop("of")
-    hits = materialise(hits, "hits")
-    # the bytes that the locators point at, once for each group
+    groups = stream_state(spark, path, id_col, text_col, checkpoint, max_bytes_per_trigger).where("group_size > 1").select(F.col("digest").alias("of"), "keep", "group_size")
+    rows = _located(spark.read.parquet(literal(path)), id_col, text_col)
+    digests = materialise(rows.select("doc_id", "place", F.sha2("norm", 256).alias("digest")), "digests")
+    marked = materialise(digests.join(groups, F.col("digest") == F.col("of"), "left").drop("of"), "marked")
+    hits = marked.where("group_size > 1")
+
+    # the texts of hits, picked in the scan by locator
+    is_hit = among(hits.select(_place_key("place").alias("key")), "key")
+    found = rows.where(is_hit(_place_key("place"))).select(F.col("place").alias("at"), "norm")
+    hits = materialise(hits.join(found, F.col("place") == F.col("at")).drop("at"), "hits")
+    # the bytes that the groups' locators point at, once for each group
     kept_bytes = hits.where("place = keep.place").select(F.col("digest").alias("of"), F.col("norm").alias("kept_norm"))
     hits = hits.join(kept_bytes, F.col("digest") == F.col("of"))
     same = F.col("norm") == F.col("kept_norm")
-    checked = materialise(hits.select("doc_id", "place", "digest", "keep", same.alias("same"), F.when(~same, F.col("norm")).alias("other"), "group_size"), "checked")
+    checked = materialise(hits.select("doc_id", "place", "digest", same.alias("same"), F.when(~same, F.col("norm")).alias("other")), "checked")
 
     def answer(df: DataFrame, keep: Column, size: Column) -> DataFrame:
         return df.select("doc_id", keep["doc_id"].alias("keep_id"), size.alias("group_size"), (keep["place"] == F.col("place")).alias("kept"), F.col("digest").alias("text_sha256"))
 
-    single = rows.drop("norm").join(groups.select(F.col("digest")), "digest", "left_anti")
-    alone = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"))
+    own = F.struct("doc_id", "place")
     if checked.where(~F.col("same")).isEmpty():
-        return alone.unionByName(answer(checked, F.col("keep"), F.col("group_size")))
+        return answer(marked, F.coalesce("keep", own), F.coalesce("group_size", F.lit(1).cast("long")))
+    alone = answer(marked.where("group_size is null"), own, F.lit(1).cast("long"))
     regrouped = checked.groupBy("digest", "same", "other").agg(F.count("*").alias("size"), F.max(F.struct("doc_id", "place")).alias("stay"))
     again = checked.alias("c").join(regrouped.alias("g"), (F.col("c.digest") == F.col("g.digest")) & (F.col("c.same") == F.col("g.same")) & F.col("c.other").eqNullSafe(F.col("g.other"))).select("c.doc_id", "c.place", "c.digest", "g.size", "g.stay")
     return alone.unionByName(answer(again, F.col("stay"), F.col("size")))
