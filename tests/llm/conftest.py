@@ -4,7 +4,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators might use inside.
-CLASH = ["row", "kept", "n_words", "copy", "n_copies", "mix_key", "digest", "class", "hash", "d", "label", "score", "id", "doc", "clean", "spans", "found", "ids", "decoded", "key", "at", "u", "cdf", "of", "n", "kind", "place", "norm", "base_failed", "component_id"]
+CLASH = ["row", "kept", "n_words", "copy", "n_copies", "mix_key", "digest", "class", "hash", "d", "label", "score", "id", "doc", "clean", "spans", "found", "ids", "decoded", "key", "at", "u", "cdf", "of", "n", "kind", "place", "norm", "base_failed", "component_id", "_metadata", "start", "secret", "n_lines", "of_doc"]
 WORDS = "ba be bi bo bu ca ce ci co cu da de di do du fa fe fi fo fu ga ge gi go gu".split()
 
 
