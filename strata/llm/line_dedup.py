@@ -5,19 +5,22 @@ consecutive lines make a window, known by two 64-bit hashes. A window that stand
 place (smallest doc_id, then text hash, then position); all other places are covered, and covered lines go.
 
 Defined results. Null text counts as empty. Texts of fewer than three lines with words stay as they are. Null doc_id sorts first.
-Rows equal in doc_id and text count as one document, and each gets the same result. Removed lines include blank ones only if
-they lie between covered lines of one window; a text may end up empty.
+Of rows equal in doc_id and text, which one is the first doesn't matter: one of them keeps what it has first, and all windows of the others are
+later places. Removed lines include blank ones only if they lie between covered lines of one window; a text may end up empty. Very
+long texts are cut whole, an empty table gives no rows, and the input's columns travel in a struct, whatever their names.
 
 Skew: windows are counted with map-side aggregation, and marking the later places is a join whose large partitions AQE splits;
-only windows that stand twice are on its other side.
+only windows that stand twice are on its other side. Only texts with something to remove are shuffled, to meet their spans.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import col, let, materialise, row_hash, stripped, table, text_of
+from strata.llm.common import among, col, let, materialise, row_hash, stripped, table, text_of
 
 SPAN = 3
 
@@ -27,12 +30,17 @@ def _numbered(text: Column) -> Column:
     return F.filter(lines, lambda x: x["t"] != "")
 
 
+def _in_windows(text: Column, one: Callable[[Column, Column], Column]) -> Column:
+    """one(lines with words, k) for each window that begins at the k-th of them; null without a window."""
+    return let(_numbered(text), lambda x: F.when(F.size(x) >= SPAN, F.transform(F.sequence(F.lit(0), F.size(x) - SPAN), lambda k: one(x, k))))
+
+
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, hash (the row's key), k (position among the lines with words), first and last line number, a and b (hashes)."""
     text = text_of(text_col)
     span = lambda x, k: tuple(x[k + j]["t"] for j in range(SPAN))
     one = lambda x, k: F.struct(F.xxhash64(*span(x, k)).alias("a"), F.xxhash64(F.lit(1), *span(x, k)).alias("b"), x[k]["i"].alias("first"), x[k + SPAN - 1]["i"].alias("last"))
-    made = let(_numbered(text), lambda x: F.when(F.size(x) >= SPAN, F.transform(F.sequence(F.lit(0), F.size(x) - SPAN), lambda k: one(x, k))))
+    made = _in_windows(text, one)
     rows = docs.select(col(id_col).cast("long").alias("doc"), row_hash(text).alias("hash"), made.alias("w"))
     return rows.select("doc", "hash", F.explode("w").alias("w")).select("doc", "hash", "w.*")
 
@@ -47,17 +55,43 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return later.groupBy("doc", "hash").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each of docs: row (its columns), clean (the text without covered lines), n_lines, n_removed."""
-    text = text_of(text_col)
-    keyed = docs.select(F.struct(*(col(c) for c in docs.columns)).alias("row"), text.alias("text"), col(id_col).cast("long").alias("doc"), row_hash(text).alias("hash"))
-    spans = covered(docs, id_col, text_col).withColumnsRenamed({"doc": "of_doc", "hash": "of_hash"})
-    both = keyed.join(spans, F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("hash") == F.col("of_hash")), "left")
+def _clean(rows: DataFrame) -> DataFrame:
+    """row, clean, n_lines and n_removed of rows with row, text and spans (null: nothing to remove)."""
     gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))))
     stay = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: lines[i])
     kept = F.when(F.col("spans").isNotNull(), let(F.split("text", "\n"), lambda lines: F.array_join(stay(lines), "\n")))
     removed = F.when(F.col("spans").isNull(), 0).otherwise(F.size(gone))
-    return both.select("row", F.coalesce(kept, F.col("text")).alias("clean"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    return rows.select("row", F.coalesce(kept, F.col("text")).alias("clean"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+
+
+def _repeats(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of which none is equal to another in doc and hash, and the others of each group with all their windows as spans (None: there are none)."""
+    twice = materialise(keyed.groupBy("doc", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc").alias("of_doc"), F.col("hash").alias("of_hash")), "repeated-keys")
+    if twice.isEmpty():
+        return keyed, None
+    key = F.xxhash64("doc", "hash")
+    may = among(twice.select(F.xxhash64("of_doc", "of_hash").alias("key")), "key")(key)
+    on = F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("hash") == F.col("of_hash"))
+    # numbered as they are written, so that no recomputation deals other numbers
+    same = materialise(keyed.where(may).join(twice, on, "left_semi").withColumn("nth", F.monotonically_increasing_id()), "repeated-rows")
+    first = same.groupBy(F.col("doc").alias("of_doc"), F.col("hash").alias("of_hash")).agg(F.min("nth").alias("stays"))
+    same = same.join(materialise(first, "first-rows"), on)
+    alone = keyed.where(~may).unionByName(keyed.where(may).join(twice, on, "left_anti")).unionByName(same.where("nth = stays").select(*keyed.columns))
+    spans = _in_windows(F.col("text"), lambda x, k: F.struct(x[k]["i"].alias("first"), x[k + SPAN - 1]["i"].alias("last")))
+    return alone, same.where("nth <> stays").select("row", "text", spans.alias("spans"))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each of docs: row (its columns), clean (the text without covered lines), n_lines, n_removed."""
+    text = text_of(text_col)
+    keyed = docs.select(F.struct(*(col(c) for c in docs.columns)).alias("row"), text.alias("text"), col(id_col).cast("long").alias("doc"), row_hash(text).alias("hash"))
+    keyed, repeated = _repeats(keyed)
+    spans = materialise(covered(docs, id_col, text_col), "spans").withColumnsRenamed({"doc": "of_doc", "hash": "of_hash"})
+    has_spans = among(spans.select(F.xxhash64("of_doc", "of_hash").alias("key")), "key")(F.xxhash64("doc", "hash"))
+    met = keyed.where(has_spans).join(spans, F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("hash") == F.col("of_hash")), "left").select("row", "text", "spans")
+    rest = keyed.where(~has_spans).select("row", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    out = _clean(rest).unionByName(_clean(met))
+    return out if repeated is None else out.unionByName(_clean(repeated))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
