@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -84,9 +85,9 @@ def test_dedup_survives_equal_digests(spark, tmp_path, monkeypatch):
 
 
 def brute_lines(rows):
-    """Text by (doc_id, text), windows of three in order."""
-    docs = sorted({(i, t or "") for i, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0))
-    seen, out = set(), {}
+    """(doc_id, text) and what is left of it, windows of three in order."""
+    docs = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0))
+    seen, out = set(), collections.Counter()
     for i, t in docs:
         lines = t.split("\n")
         at = [k for k, x in enumerate(lines) if WORD.search(x)]
@@ -96,18 +97,34 @@ def brute_lines(rows):
             if w in seen:
                 gone |= set(range(at[k], at[k + 2] + 1))
             seen.add(w)
-        out[i, t] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
+        out[i, t, "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)] += 1
     return out
 
 
+def cleaned(df):
+    return collections.Counter((r["row"]["doc_id"], r["row"]["text"] or "", r["clean"], r["n_removed"]) for r in line_dedup.line_dedup(df).collect())
+
+
 def test_lines_brute(spark):
     rng = random.Random(9)
     pool = [prose(rng, 3) for _ in range(12)] + ["", " ", "\t"]
     rows = [(i, "\n".join(rng.choice(pool) + rng.choice(["", " ", "\r"]) for _ in range(rng.randrange(0, 25)))) for i in range(150)]
-    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = brute_lines(rows)
-    assert {(r["row"]["doc_id"], r["row"]["text"]): (r["clean"], r["n_removed"]) for r in got} == want
-    assert sum(n for _, n in want.values()) > 100
+    assert cleaned(spark.createDataFrame(rows, "doc_id long, text string")) == want
+    assert sum(key[3] for key in want) > 100
+
+
+def test_lines_repeated_rows(spark):
+    """Of equal rows one keeps what it has first; null ids as well, and over partitions."""
+    rng = random.Random(10)
+    texts = ["\n".join(prose(rng, 3) for _ in range(5)) for _ in range(6)] + ["a\nb", "", None]
+    rows = [(rng.choice([None, 1, 2]), rng.choice(texts)) for _ in range(80)]
+    got = cleaned(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sum(got.values()) == len(rows)
+    for text in texts[:6]:
+        whole = [key for key, n in got.items() for _ in range(n) if key[1] == text and key[2]]
+        assert len(whole) == 1 and whole[0][2] == text and whole[0][3] == 0
+    assert all(not k[3] for k in got if k[1] in ("a\nb", ""))
 
 
 def test_lines_odd(spark, clashing, empty):
@@ -117,6 +134,7 @@ def test_lines_odd(spark, clashing, empty):
     assert by[5]["n_removed"] == 0
     assert [r["clean"] for r in rows if r["row"]["doc_id"] == 6 and r["n_removed"]] == ["more here"]
     assert all(r["n_removed"] == 0 for r in rows if r["row"]["doc_id"] == 1)
+    assert collections.Counter((r["row"]["doc_id"], r["row"]["text"] or "", r["clean"], r["n_removed"]) for r in rows) == brute_lines([(r["doc_id"], r["text"]) for r in clashing.collect()])
     assert line_dedup.line_dedup(empty).count() == 0
     assert line_dedup.stage(spark, clashing, "").columns == clashing.columns
 
@@ -148,10 +166,32 @@ def test_poisson(spark):
     assert again.where("source = 'tiny'").count() == n["tiny"]
 
 
+def poisson_cdf(mean, least, most):
+    """Probabilities of at most least, ..., most, by lgamma and exact sums."""
+    p = [math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(least, most + 1)]
+    return [math.fsum(p[: i + 1]) for i in range(len(p))]
+
+
+@pytest.mark.parametrize("mean", [0.001, 0.7, 1, 30, 199, 700, 5000])
+def test_distribution(spark, mean):
+    """Every entry of the table against the plain formula."""
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
+    r = mixing.rates(docs, total=10 * mean).first()
+    want = poisson_cdf(mean, r["least"], r["least"] + len(r["cdf"]) - 1)
+    assert np.allclose(r["cdf"], want, atol=1e-9) and abs(r["cdf"][-1] - 1) < 1e-9 and (r["least"] == 0 or r["cdf"][0] < 1e-25)
+
+
 def test_large_means(spark):
-    docs = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, source string")
-    n = [r["n_copies"] for r in mixing.mix(docs, total=4000).select("doc_id", "n_copies").distinct().collect()]
-    assert len(n) == 2 and all(abs(x - 2000) < 300 for x in n)
+    """A million copies a document: within seconds, and a table of some 24,000 entries."""
+    docs = spark.range(2).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
+    began = time.monotonic()
+    rate = mixing.rates(docs, total=2_000_000).first()
+    assert len(rate["cdf"]) < 25_000
+    out = mixing.mix(docs, total=2_000_000).groupBy("doc_id", "n_copies").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("d"), F.max("copy").alias("last")).collect()
+    assert len(out) == 2 and all(r["n"] == r["d"] == r["n_copies"] == r["last"] + 1 and abs(r["n"] - 1e6) < 6000 for r in out)
+    assert time.monotonic() - began < 60
+    big = mixing.rates(docs, total=2e9).first()
+    assert abs(big["cdf"][round(1e9) - big["least"]] - 0.5) < 1e-4 and abs(big["cdf"][-1] - 1) < 1e-6
 
 
 def test_mixing_odd(spark, clashing, empty, odd):
