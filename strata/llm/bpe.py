@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.arrow import slices, texts
-from strata.llm.common import col, table, text_of
+from strata.llm.common import col, named_apart, table, text_of, with_row
 from strata.runtime import ship
 
 CACHE = 1 << 18
@@ -276,8 +276,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, columns: tuple[str,
                 ids = coder.encode(column.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array([coder.decode(x) for x in ids], pa.string())], ["row", "ids", "decoded"])
 
-    row = packed.schema["row"].dataType.simpleString()
-    return packed.mapInArrow(work, f"row {row}, ids binary, decoded string").select("row.*", "ids", "decoded")
+    return packed.mapInArrow(work, with_row(packed, "ids binary, decoded string")).select(*named_apart("row", columns, ("ids", "decoded")))
 
 
 def _digests(coded: DataFrame) -> DataFrame:

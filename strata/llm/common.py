@@ -13,6 +13,7 @@ from collections.abc import Callable
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\f\r"
@@ -165,5 +166,22 @@ def own_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def with_row(packed: DataFrame, rest: str) -> T.StructType:
+    """The schema of the struct column row and of the columns that follow it. Names in the struct may hold any characters."""
+    return T.StructType([packed.schema["row"], *T._parse_datatype_string(rest).fields])
+
+
+def named_apart(row: str, given: tuple[str, ...], made: tuple[str, ...]) -> list[Column]:
+    """The given columns of a struct before the columns made: a given one whose name is among those gets an underscore more."""
+    taken, out = {m.lower() for m in made}, []
+    for name in given:
+        new = name
+        while new.lower() in taken:
+            new += "_"
+        taken.add(new.lower())
+        out.append(F.col(row)[name].alias(new))
+    return [*out, *(F.col(m) for m in made)]
+
+
 def sql_literal(text: str) -> str:
     return "'" + re.sub("'", "''", text) + "'"

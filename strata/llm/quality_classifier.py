@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.arrow import per_text, raw, slices, texts, word_hashes
-from strata.llm.common import col, is_held_out, table, text_of
+from strata.llm.common import col, is_held_out, named_apart, table, text_of, with_row
 from strata.runtime import ship
 
 PLACES = 1 << 16
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",),
             for a, b in slices(column):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(shared.value.score(*vectors(column.slice(a, b - a), given[a:b])))], ["row", "score"])
 
-    return packed.mapInArrow(work, f"row {packed.schema['row'].dataType.simpleString()}, score double").select("row.*", "score")
+    return packed.mapInArrow(work, with_row(packed, "score double")).select(*named_apart("row", columns, ("score",)))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
