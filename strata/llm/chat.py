@@ -10,14 +10,19 @@ backslash is put behind the first character wherever a control string begins, an
 Defined results. Null role or text counts as empty. Rows go by turn (null first), ties by role and then by their ids. Rows without a conv_id
 are one conversation. Repeated rows are turns of their own. An empty table gives no rows.
 
+Further columns of the input are not read, whatever their names.
+
+The vocabulary (a file of ranks, a parameter) is read on the driver and broadcast. Texts over PIECE characters are encoded in pieces, cut before a single blank between two
+words, where the word pattern cuts as well, or after PIECE characters if there is none.
+
 Skew: turns are encoded where they are read. Conversations are dealt by id and pass through the task row by row, sorted; it holds one conversation
 at a time, which is one output row.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import json
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -27,50 +32,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.bpe import byte_symbols, vocabulary_path
+from strata.llm.bpe import vocabulary_path
 from strata.llm.common import col, table, text_of
 from strata.runtime import ship
 
 #: Strings that some chat template reads as control.
 CONTROL = ["<|begin|>", "<|turn|>", "<|text|>", "<|end|>", "<|finish|>", "<|endoftext|>", "<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 RESERVED = ["<|begin|>", "<|turn|>", "<|text|>", "<|end|>", "<|finish|>"]
+#: The word pattern of the public byte-level vocabulary.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PIECE = 100_000
+ROLES = 4096
+VOCABULARY = "byte_bpe_50k.tiktoken"
 _STARTS = re.compile("(?=" + "|".join(map(re.escape, CONTROL)) + ").", re.DOTALL)
+_FIRST = {c[0] for c in CONTROL}
 _ESCAPED = re.compile(r"\\(\\?)")
 
 
 def escape(text: str) -> str:
-    return _STARTS.sub(lambda m: m[0] + "\\", text.replace("\\", "\\\\"))
+    if "\\" in text:
+        text = text.replace("\\", "\\\\")
+    return _STARTS.sub(lambda m: m[0] + "\\", text) if any(c in text for c in _FIRST) else text
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(lambda m: m[1], text)
+    return _ESCAPED.sub(lambda m: m[1], text) if "\\" in text else text
+
+
+def pieces(text: str) -> Iterator[str]:
+    start = 0
+    while len(text) - start > PIECE:
+        at = text.rfind(" ", start + 2, start + PIECE)
+        while at > 0 and (text[at - 1].isspace() or text[at + 1].isspace()):
+            at = text.rfind(" ", start + 2, at)
+        at = at if at > 0 else start + PIECE
+        yield text[start:at]
+        start = at
+    yield text[start:]
 
 
 class Template:
-    """Encodes segments and reads ids back. path: a byte-level vocabulary file of the tokenizers library."""
+    """Encodes segments and reads ids back. ranks: the content of a byte-level vocabulary file, a token (in base 64) and its id a line."""
+
+    def __init__(self, ranks: bytes) -> None:
+        import tiktoken
 
-    def __init__(self, path: str) -> None:
-        spec = json.loads(Path(path).read_text(encoding="utf-8"))
-        names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-        size = max(names) + 1
-        self.path, self.tokenizer = path, None
+        tokens = {base64.b64decode(token): int(i) for token, i in map(bytes.split, ranks.splitlines())}
+        size = max(tokens.values()) + 1
+        self.coder = tiktoken.Encoding("chat", pat_str=WORDS, mergeable_ranks=tokens, special_tokens={})
         self.begin, self.turn, self.text, self.end, self.finish = range(size, size + len(RESERVED))
-        value = {c: b for b, c in enumerate(byte_symbols())}
-        self.bytes = [bytes(value.get(c, 63) for c in names.get(i, "")) for i in range(size)] + [x.encode() for x in RESERVED]
+        self.roles: dict[str, bytes] = {}
 
-    def encode(self, many: list[str]) -> list[bytes]:
-        if self.tokenizer is None:  # only where texts are encoded: it is large
-            from tokenizers import Tokenizer
+    def encode(self, text: str) -> bytes:
+        parts = [np.array(self.coder.encode_ordinary(x), "<u4").tobytes() for x in pieces(escape(text))]
+        return b"".join(parts)
 
-            self.tokenizer = Tokenizer.from_file(self.path)
-            self.tokenizer.encode_special_tokens = True
-        out: list[bytes] = []
-        for a in range(0, len(many), 256):
-            out += [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch([escape(t) for t in many[a : a + 256]], add_special_tokens=False)]
-        return out
+    def encode_role(self, role: str) -> bytes:
+        """Roles are few: each is encoded once, as long as no more than ROLES are about."""
+        if role not in self.roles:
+            if len(self.roles) >= ROLES:
+                self.roles.clear()
+            self.roles[role] = self.encode(role)
+        return self.roles[role]
 
     def render(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode()
+        """The text of ids; reserved ones give their strings."""
+        out, at = [], 0
+        for k in [*np.flatnonzero(ids >= self.begin).tolist(), len(ids)]:
+            out.append(self.coder.decode_bytes(ids[at:k].tolist()).decode())
+            out += [RESERVED[int(ids[k]) - self.begin]] if k < len(ids) else []
+            at = k + 1
+        return "".join(out)
 
     def assemble(self, turns: list[tuple[bytes, bytes, bool]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and loss mask of the turns (role ids, text ids, whether it is learned)."""
@@ -88,45 +120,49 @@ class Template:
             change[at + 2 + n + m] -= learned
         return ids, np.cumsum(change[:-1]).astype(np.uint8)
 
-    def turns(self, ids: np.ndarray) -> list[tuple[str, str]]:
-        """Roles and texts, read from the ids alone."""
+    def read(self, ids: np.ndarray, mask: np.ndarray) -> tuple[list[tuple[str, str]], str, int]:
+        """From ids and mask alone: roles and texts of the turns, all text under the mask run by run, and the length of the whole as rendered."""
         marks = np.flatnonzero(ids >= self.begin)
-        kinds = ids[marks]
-        out = []
-        for k in np.flatnonzero(kinds == self.turn).tolist():
+        edges = [-1, *marks.tolist(), len(ids)]
+        parts = {(a + 1, b): self.coder.decode_bytes(ids[a + 1 : b].tolist()).decode() for a, b in zip(edges, edges[1:], strict=False)}
+        turns = []
+        for k in np.flatnonzero(ids[marks] == self.turn).tolist():
             a, b, c = marks[k : k + 3].tolist()
-            out.append((unescape(self.render(ids[a + 1 : b])), unescape(self.render(ids[b + 1 : c]))))
-        return out
+            turns.append((unescape(parts[a + 1, b]), unescape(parts[b + 1, c])))
+        runs = np.flatnonzero(np.diff(np.concatenate(([0], mask, [0])))).reshape(-1, 2).tolist()
+        learned = "".join(unescape(parts[a, b] if (a, b) in parts else self.render(ids[a:b])) for a, b in runs)
+        return turns, learned, sum(map(len, parts.values())) + sum(len(RESERVED[i - self.begin]) for i in ids[marks].tolist())
+
 
-    def learned(self, ids: np.ndarray, mask: np.ndarray) -> str:
-        """All text under the mask, run by run."""
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], mask, [0]))))
-        return "".join(unescape(self.render(ids[a:b])) for a, b in edges.reshape(-1, 2).tolist())
+_TEMPLATES: dict[bytes, Template] = {}
 
 
-_TEMPLATES: dict[str, Template] = {}
+def _template(ranks: bytes) -> Template:
+    key = hashlib.sha256(ranks).digest()
+    if key not in _TEMPLATES:
+        _TEMPLATES[key] = Template(ranks)
+    return _TEMPLATES[key]
 
 
-def _template(path: str) -> Template:
-    if path not in _TEMPLATES:
-        _TEMPLATES[path] = Template(path)
-    return _TEMPLATES[path]
+def _vocabulary(spark: SparkSession, path: str | None):
+    """The vocabulary's file as a broadcast: a parameter of fixed size, read on the driver only."""
+    return spark.sparkContext.broadcast(Path(path or vocabulary_path(VOCABULARY)).read_bytes())
 
 
 def chat_format(conversations: DataFrame, path: str | None = None, learned_role: str = "assistant", id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row a conversation: conv_id, ids (binary: little-endian unsigned 32-bit) and mask (binary: a byte an id)."""
     ship(conversations.sparkSession)
-    path = path or vocabulary_path("byte_bpe_50k.json")
+    shared = _vocabulary(conversations.sparkSession, path)
     rows = conversations.select(col(id_col).cast("long").alias("conv_id"), col(turn_col).cast("long").alias("turn"), text_of(role_col).alias("role"), text_of(text_col).alias("text"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template = _template(path)
+        template = _template(shared.value)
         for batch in batches:
-            coded = [pa.array(template.encode(batch.column(i).to_pylist()), pa.binary()) for i in (2, 3)]
+            coded = [pa.array(list(map(f, batch.column(i).to_pylist())), pa.binary()) for i, f in ((2, template.encode_role), (3, template.encode))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *coded], ["conv_id", "turn", "role", "role_ids", "text_ids"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template = _template(path)
+        template = _template(shared.value)
 
         def row(conv: int | None, turns: list) -> tuple:
             ids, mask = template.assemble(turns)
@@ -158,17 +194,17 @@ def chat_format(conversations: DataFrame, path: str | None = None, learned_role:
 def read_back(formatted: DataFrame, path: str | None = None) -> DataFrame:
     """What the ids and the mask say: turns, their digest, the learned text's length and digest, and the rendered length."""
     ship(formatted.sparkSession)
-    path = path or vocabulary_path("byte_bpe_50k.json")
+    shared = _vocabulary(formatted.sparkSession, path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template = _template(path)
+        template = _template(shared.value)
         sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for batch in batches:
             out = []
             for ids, mask in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 ids, mask = np.frombuffer(ids, "<u4"), np.frombuffer(mask, np.uint8)
-                turns, learned = template.turns(ids), template.learned(ids, mask)
-                out.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(learned), sha(learned), len(template.render(ids))))
+                turns, learned, length = template.read(ids, mask)
+                out.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(learned), sha(learned), length))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
