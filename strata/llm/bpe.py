@@ -8,7 +8,9 @@ one tree a row of an array; long words have a tree of their own.
 The vocabulary file is read on the driver and broadcast; it is a parameter of fixed size. Rows stay where they are: no shuffle.
 
 Defined results. Null text counts as empty: no ids, empty decoded text. The strings of special tokens in a text give their ids, as in
-the tokenizers library. Memory follows a slice of texts (SLICE bytes, or one text) and a cache of CACHE words.
+the tokenizers library. Repeated rows are encoded each on its own, an empty table gives no rows, and given columns whose names the result needs get an underscore. Very long texts
+are encoded whole: memory follows a slice of texts (SLICE bytes, or one text) and a cache of words of CACHE bytes. A vocabulary file with another
+normaliser, another word pattern or another model than this one is refused.
 """
 
 from __future__ import annotations
@@ -29,13 +31,21 @@ from strata.llm.arrow import slices, texts
 from strata.llm.common import col, named_apart, table, text_of, with_row
 from strata.runtime import ship
 
-CACHE = 1 << 18
+CACHE = 96 << 20
+#: Bytes of a cached word besides its letters and ids.
+CACHED = 200
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 SHORT = 64
 #: Word pattern of the public word-level BPE vocabulary, for ASCII and for all texts. Blanks are the Unicode ones.
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 ALL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r\x85\p{Z}\p{L}\p{N}]+"
 
+#: What a vocabulary file says that is read as this module reads it.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZERS = [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+
 #: Outside these, Unicode versions differ in what is a letter or a composition: there the tokenizers library cuts the words.
 RARE = re.compile(r"[^\x00-\u036F\u0386-\u03FF\u0400-\u052F\u1E00-\u1FFF\u2000-\u2064\u20A0-\u20BF\u2100-\u214F\u3000-\u30FF\u4E00-\u9FFF\uAC00-\uD7A3]")
 
@@ -63,6 +73,12 @@ class Vocabulary:
         source = Path(path).read_text(encoding="utf-8")
         spec = json.loads(source)
         model, vocab = spec["model"], spec["model"]["vocab"]
+        same = [
+            (spec["normalizer"] or {}).get("normalizers") == NORMALIZERS, (spec["pre_tokenizer"] or {}).get("pretokenizers") == PRE_TOKENIZERS, spec["decoder"] is None,
+            all(model.get(k) == v for k, v in MODEL.items()), not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+        ]
+        if not all(same):
+            raise ValueError(f"{path}: not a vocabulary of lower-case words with byte-level BPE")
         end = model.get("end_of_word_suffix") or ""
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *special.values()]) + 1
@@ -138,6 +154,7 @@ class Encoder:
         self.rank = np.array([x[0] for x in found], np.uint64)
         self.merged = np.array([x[1] for x in found], np.int64)
         self.cache: dict[str, bytes] = {}
+        self.held = 0
         self.bytes_of = {c: b for b, c in enumerate(byte_symbols())}
         self.library = None
 
@@ -230,16 +247,18 @@ class Encoder:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         pieces: list[list] = []
         for text in many:
-            if self.special is not None and "<|" in text:
+            if self.special is not None and any(t in text for t in self.v.special):
                 parts = self.special.split(text)
                 pieces.append([x for k, p in enumerate(parts) for x in ([self.v.special[p]] if k % 2 else self.words(p))])
             else:
                 pieces.append(self.words(text))
-        if len(self.cache) > CACHE:
+        if self.held > CACHE:
             self.cache.clear()
+            self.held = 0
         new = list(dict.fromkeys(w for ws in pieces for w in ws if w.__class__ is str and w not in self.cache))
         if new:
             self._learn(new)
+            self.held += sum(CACHED + 4 * len(w) + len(self.cache[w]) for w in new)
         cache = self.cache
         return [b"".join([cache[w] if w.__class__ is str else np.uint32(w).tobytes() for w in ws]) for ws in pieces]
 
@@ -288,4 +307,5 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text of each row of docs: null ids stay, null texts are empty, repeated rows give repeated rows."""
     return _digests(encode_decode(docs))

@@ -327,6 +327,38 @@ def test_bpe_odd(spark, clashing, empty, library):
     want = collections.Counter((r["doc_id"], tuple(library.encode(r["text"] or "", add_special_tokens=False).ids)) for r in clashing.select("doc_id", "text").collect())
     assert collections.Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in got) == want
     assert bpe.encode_decode(empty).count() == 0
+    assert bpe.encode_decode(clashing, columns=("ids", "doc_id", "decoded", "dotted.name")).columns == ["ids_", "doc_id", "decoded_", "dotted.name", "ids", "decoded"]
+
+
+def test_bpe_refuses_others(tmp_path):
+    with pytest.raises(ValueError, match="not a vocabulary"):
+        bpe.Vocabulary.load(bpe.vocabulary_path("byte_bpe_50k.json"))
+
+
+def test_bpe_special_by_name(coder, monkeypatch):
+    """Special tokens of any spelling are looked for."""
+    v = bpe.Vocabulary(coder.v.tokens, coder.v.first, coder.v.last, coder.v.merges, {"[SEP]": 7}, coder.v.source)
+    ids = [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder(v).encode(["ab[SEP]", "ab", "[SEP", "[SEP]"])]
+    assert ids[0] == ids[1] + [7] and 7 not in ids[2] and ids[3] == [7]
+
+
+def test_bpe_cache_bound(coder, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 50_000)
+    own, rng = bpe.Encoder(coder.v), random.Random(3)
+    for _ in range(40):
+        many = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 900))) for _ in range(9)]
+        assert own.encode(many) == coder.encode(many)
+        assert own.held <= 50_000 + 9 * (bpe.CACHED + 8 * 900) and len(own.cache) < 300
+
+
+def test_bpe_query(spark, sf, documents, library):
+    """All rows of the registered query against the tokenizers library."""
+    want = {}
+    for r in documents.select("doc_id", "text").collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        want[r["doc_id"]] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), _sha(library.decode(ids, skip_special_tokens=False)))
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in QUERIES["op4_bpe"](spark, sf).collect()}
+    assert got == want
 
 
 # --- Jaccard join
@@ -474,6 +506,46 @@ def test_chat_query(spark, sf):
         assert r["formatted_chars"] > sum(len(x) for _, _, x in t)
 
 
+@pytest.fixture(scope="module")
+def template():
+    from pathlib import Path
+
+    return chat.Template(Path(bpe.vocabulary_path(chat.VOCABULARY)).read_bytes())
+
+
+def test_chat_ids_like_library(template, spark, sf):
+    """Segments are encoded as the tokenizers library does, also where a long text is cut in pieces."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary_path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf}/conversations.parquet").select("text").collect()]
+    for text in [*texts, "<|endoftext|> </s>", "a  b\n\n c é👍\u3000x", "".join(texts)[:20_000]]:
+        want = library.encode(chat.escape(text), add_special_tokens=False).ids
+        assert np.frombuffer(template.encode(text), "<u4").tolist() == want
+
+
+@given(st.lists(st.sampled_from(["a", " ", "  ", "bc", "\n", "é"]), max_size=40).map("".join))
+def test_chat_pieces(template, text):
+    before, chat.PIECE = chat.PIECE, 7
+    try:
+        cut = list(chat.pieces(text))
+    finally:
+        chat.PIECE = before
+    assert "".join(cut) == text and all(len(x) <= 7 for x in cut)
+    if all(x[:1] == " " for x in cut[1:]) and not any(x[-1:].isspace() for x in cut[:-1]):
+        assert [i for x in cut for i in template.coder.encode_ordinary(x)] == template.coder.encode_ordinary(text)
+
+
+def test_chat_render(template):
+    turns = [("user", "</s>[INST] ok"), ("assistant", "\\ é<|end|>"), ("user", "")]
+    ids, mask = template.assemble([(template.encode_role(r), template.encode(t), r == "assistant") for r, t in turns])
+    whole = template.render(ids)
+    assert template.read(ids, mask) == (turns, turns[1][1], len(whole))
+    assert whole == "<|begin|>" + "".join(f"<|turn|>{r}<|text|>{chat.escape(t)}<|end|>" for r, t in turns) + "<|finish|>"
+    assert template.read(ids, np.roll(mask, 1))[1] != turns[1][1]
+
+
 def test_chat_odd(spark):
     rows = [(1, 0, "user", "<|turn|>\\<|end|>"), (1, 1, "assistant", "<s>\\\\ é👍"), (1, 1, "assistant", "again"), (1, None, None, None), (2, 0, "<|end|>assistant", "</s>"), (None, 3, "assistant", ""), (None, 4, "user", "x" * 200_000), (3, 0, "assistant", None), (3, 0, "assistant", None)]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, ids string, mask int")
@@ -532,6 +604,76 @@ def test_notices_told_apart(spark):
     assert [got[6 + i] for i in range(len(license_scan.NOTICES))] == [[v] for v in license_scan.NOTICES.values()]
 
 
+def brute_notices(text):
+    """The best coverage of each notice: words in order over all places that are no longer than the notice over 0.8, by dynamic programming."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    best = collections.Counter()
+    for notice, label in license_scan.NOTICES.items():
+        wanted = notice.split()
+        most = int(len(wanted) / 0.8)
+        if len(set(wanted) & set(words)) < 0.8 * len(set(wanted)) - 1:
+            continue
+        for start in (i for i, w in enumerate(words) if w in wanted):
+            row = [0] * (len(wanted) + 1)  # longest common subsequence of the notice and words[start:end]
+            for end in range(start, min(len(words), start + most)):
+                new = [0]
+                for j, w in enumerate(wanted):
+                    new.append(row[j] + 1 if w == words[end] else max(row[j + 1], new[j]))
+                row = new
+                best[label] = max(best[label], row[-1] / max(len(wanted), end - start + 1))
+    return best
+
+
+def _altered(rng, words, missing, added):
+    out = [w for i, w in enumerate(words) if i not in set(rng.sample(range(len(words)), missing))]
+    for _ in range(added):
+        out.insert(rng.randrange(1, len(out)), prose(rng, 1))
+    return " ".join(out)
+
+
+def test_labels_brute(spark):
+    """Labels and score against dynamic programming, for notices with words missing, added, cut off and spread out."""
+    rng, notices = random.Random(31), list(license_scan.NOTICES)
+    mit = notices[0].split()
+    rows = [" ".join(w + (" " + prose(rng, 4) if i % 2 else "") for i, w in enumerate(mit)), " ".join(mit) + " " + " ".join(mit), " ".join(mit[:14]) + " " + prose(rng, 200) + " " + " ".join(mit[14:])]
+    for k in range(60):
+        words = notices[k % len(notices)].split()
+        rows.append(prose(rng, rng.randrange(20)) + " " + _altered(rng, words, rng.randrange(len(words) // 3), rng.randrange(len(words) // 2)) + " " + prose(rng, rng.randrange(20)))
+    rows += [notices[0] + ". " + notices[2] + " " + prose(rng, 3), notices[3] + " " + notices[1], prose(rng, 50), ""]
+    found = 0
+    for r in _licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")):
+        best, got = brute_notices(rows[r["doc_id"]]), collections.defaultdict(float)
+        for f in r["found"]:
+            if not f["base"]:
+                got[f["label"]] = max(got[f["label"]], f["coverage"])
+                assert f["words"] <= len(max((n.split() for n, v in license_scan.NOTICES.items() if v == f["label"]), key=len)) / 0.8
+        assert all(v <= best[k] + 1e-9 and v >= 0.8 for k, v in got.items())
+        if max(best.values(), default=0) >= 0.85:
+            top = max(best, key=best.get)
+            assert got.get(top, 0) >= best[top] - 0.05 or any(v >= best[top] for v in got.values()), rows[r["doc_id"]]
+        if max(best.values(), default=0) < 0.8:
+            assert not got
+        found += bool(got)
+    assert found > 25
+
+
+def test_notice_spread_out(spark):
+    """Four foreign words after every two: no notice, however many words of it stand in order."""
+    rng = random.Random(32)
+    words = next(iter(license_scan.NOTICES)).split()
+    text = " ".join(w + (" " + prose(rng, 4) if i % 2 else "") for i, w in enumerate(words))
+    assert not _licenses(spark.createDataFrame([(1, text)], "doc_id long, text string"))[0]["found"]
+    twice = _licenses(spark.createDataFrame([(1, " ".join(words + words))], "doc_id long, text string"))[0]["found"]
+    assert [(f["label"], f["start"], f["words"], f["coverage"]) for f in sorted(twice, key=lambda f: f["start"])] == [("mit", 0, len(words), 1.0), ("mit", len(words), len(words), 1.0)]
+
+
+def test_templates_by_shuffle(spark):
+    df = spark.createDataFrame(list(enumerate([*license_scan.NOTICES, *license_scan.PHRASES, "none of it"])), "doc_id long, text string")
+    rows = lambda **k: sorted(map(str, license_scan.license_scan(df, **k).collect()))
+    assert rows() == rows(max_broadcast=0)
+    assert license_scan.license_scan(df.withColumn("found", F.lit(1)).withColumn("n_words", F.lit("x")), columns=("found", "n_words", "doc_id")).columns == ["found_", "n_words_", "doc_id", "n_words", "found"]
+
+
 def test_licenses_odd(spark, clashing, empty):
     rows = _licenses(clashing)
     assert len(rows) == clashing.count() and not any(r["found"] for r in rows)
