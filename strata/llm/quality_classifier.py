@@ -5,10 +5,12 @@ places for statistics of structure and for the metadata column n_chars. The pair
 half the sum over factors of (sum of v x)^2 - sum of (v x)^2. Labels, lang, source and doc_id are not read for a score.
 
 The model is fitted on at most max_rows labelled rows (the smallest hashes of doc_id, rows of the held-out fold left out): only
-their vectors reach the driver. The broadcast model has a fixed size, (2^16 + 15) * (1 + factors) numbers. Scoring is one pass, no shuffle.
+their vectors reach the driver, one an id (of rows that share an id, the one of the smallest text hash teaches) and of 2^16 places at most.
+The broadcast model has a fixed size, (2^16 + 15) * (1 + factors) numbers. Scoring is one pass, no shuffle.
 
 Defined results. Null text counts as empty and has a score too; null or missing n_chars is a statistic of its own. Without labels of
-both kinds every score is the share of label 1 among those there are, or one half. Repeated rows get equal scores.
+both kinds every score is the share of label 1 among those there are, or one half. Repeated rows get equal scores, an empty table gives no rows, very long
+texts are read whole, and given columns named score get an underscore.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.arrow import per_text, raw, slices, texts, word_hashes
-from strata.llm.common import col, is_held_out, named_apart, table, text_of, with_row
+from strata.llm.common import col, is_held_out, named_apart, row_hash, table, text_of, with_row
 from strata.runtime import ship
 
 PLACES = 1 << 16
@@ -156,6 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     ids = marked.groupBy(col(id_col).cast("long").alias("id")).agg(F.max(col(label).cast("int")).alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_rows).collect()
     chosen = docs.sparkSession.createDataFrame([(int(r[0]), int(r[1])) for r in ids], "id long, label int")  # bounded by max_rows
     rows = docs.select(col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), _with_n_chars(docs).alias("n_chars")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "label").agg(F.min(F.struct(row_hash(F.col("text")).alias("hash"), "text", "n_chars")).alias("x")).select("id", "label", "x.text", "x.n_chars")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

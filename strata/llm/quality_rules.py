@@ -4,10 +4,11 @@ Statistics of every whole text are Spark expressions. A bounded sample of labell
 hashes of doc_id, rows of the held-out fold left out) teaches an ordered list of rules by sequential covering: each rule grows
 a conjunction of thresholds by information gain on two thirds of the rows, is pruned on the other third, and what it covers
 is taken out before the next. The list is emitted as one ordered conditional expression, so the verdict on all rows runs in
-the JVM. Only the counts of the sample reach the driver.
+the JVM. Only the features of the sample reach the driver, one row an id: of rows that share an id, the one of the smallest features teaches.
 
 Defined results. Null or empty text has no words: all counts are 0, base_failed is true, kept is false. Without labelled rows of
-both kinds the list is empty and keeps whatever the base rules keep. Repeated rows are judged each on its own.
+both kinds the list is empty and keeps whatever the base rules keep. Repeated rows are judged each on its own, an empty table gives no rows, very long texts
+are counted whole, and the input's columns travel in a struct, whatever their names.
 """
 
 from __future__ import annotations
@@ -161,8 +162,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 20000, id_col: str = "doc_id", text_col: str = "text", **options) -> list[Rule]:
     sample = labelled_sample(docs, labels, label, max_rows, id_col, text_col)
-    rows = with_statistics(sample).select("row.id", "row.label", *(c.alias(k) for k, c in features().items()))
-    seen = rows.dropDuplicates().toPandas().sort_values(list(FEATURES) + ["id"], kind="stable")
+    rows = with_statistics(sample).select("row.id", "row.label", F.struct(*(c.alias(k) for k, c in features().items())).alias("x"))
+    one = rows.groupBy("id", "label").agg(F.min("x").alias("x"))  # max_rows rows, however often an id stands in docs
+    seen = one.select("id", "label", "x.*").toPandas().sort_values(list(FEATURES) + ["id"], kind="stable")
     if seen["label"].nunique() < 2:
         return []
     return learn({k: seen[k].to_numpy(float) for k in FEATURES}, seen["label"].to_numpy() == 0, **options)
@@ -181,5 +183,5 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only what the rules keep, with the input's columns."""
+    """Only what the rules keep, with the input's columns. Null and empty texts go (they have fewer words than the base rules ask); repeated rows stay or go together."""
     return quality_rules(docs, fit(docs, table(spark, sf_dir, "labels"))).where("kept").select("row.*")

@@ -68,6 +68,40 @@ def test_machine_pairs():
         assert abs(out[row] - want) < 1e-2
 
 
+def brute_vector(text, n_chars):
+    """Words' counts, and the statistics by name, in plain Python."""
+    data, w = text.encode(), WORD.findall(text.translate(LOWER))
+    size, words = max(1, len(data)), max(1, len(w))
+    share = lambda chars: sum(b in chars for b in data) / size
+    known = n_chars is not None
+    return collections.Counter(w), {
+        "words": np.log1p(len(w)), "word_bytes": min(size / words, 40), "upper": share(string.ascii_uppercase.encode()), "digits": share(string.digits.encode()), "punctuation": share(string.punctuation.encode()), "symbols": share(b"#*$%&|<>"),
+        "marks": share(b"!?"), "non_ascii": sum(b > 127 for b in data) / size, "lines": share(b"\n"), "stutter": sum(a == b for a, b in zip(w, w[1:], strict=False)) / words,
+        "n_chars": np.log1p(max(n_chars, 0)) if known else 0, "no_n_chars": not known, "n_chars_off": known and n_chars != len(text), "one": 1,
+    }
+
+
+def test_vectors_brute(documents):
+    rows = [(r["text"] or "", r["n_chars"]) for r in documents.limit(120).collect()] + [("", None), ("", 0), ("A a a É\n#!", 3), ("  \n", None), ("x" * 9000, 9000)]
+    begin, place, value, statistics = quality_classifier.vectors(pa.array([t for t, _ in rows], pa.large_string()), np.array([np.nan if n is None else n for _, n in rows], float))
+    for i, (text, n) in enumerate(rows):
+        times, want = brute_vector(text, n)
+        want["distinct"] = (begin[i + 1] - begin[i]) / max(1, times.total())  # places: two words may share one
+        assert np.allclose(statistics[i], [float(want[k]) for k in quality_classifier.STATISTICS], atol=1e-5), text[:60]
+        got = value[begin[i] : begin[i + 1]]
+        logs = np.log1p(np.array(sorted(times.values()), float))
+        if len(got) == len(times):  # else two words share a place
+            assert np.allclose(sorted(got), logs / np.sqrt((logs**2).sum()) if len(logs) else [], atol=1e-5)
+        assert len(got) <= len(times) <= len(got) + 3 and len(set(place[begin[i] : begin[i + 1]].tolist())) == len(got)
+
+
+def test_repeated_ids_teach_once(spark, labels, documents):
+    """Many rows of one id don't grow what reaches the driver, nor the rules and models."""
+    many = documents.unionByName(documents).unionByName(documents)
+    a, b = (quality_classifier.fit(d, labels, epochs=2) for d in (documents, many))
+    assert np.allclose(a.weights, b.weights) and a.bias == b.bias
+
+
 def test_classifier_held_out(spark, sf, documents, labels):
     rows = QUERIES["op1_quality_classifier"](spark, sf).join(labels, "doc_id", "left").toPandas()
     assert len(rows) == documents.count() and rows["score"].between(0, 1).all()
