@@ -113,6 +113,23 @@ def among(keys: DataFrame, key: str, most_bits: int = 1 << 26) -> Callable[[Colu
     return lambda k: F.getbit(F.get(array, word(k)), bit(k)) == 1
 
 
+def first_of_equal(keyed: DataFrame, twice: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Of rows that are equal in doc and hash one each, and the others (None: there are none). twice: the doc and hash of such rows, if they are known."""
+    if twice is None:
+        twice = keyed.groupBy("doc", "hash").agg(F.count("*").alias("n")).where("n > 1")
+    twice = materialise(twice.select(F.col("doc").alias("of_doc"), F.col("hash").alias("of_hash")), "repeated-keys")
+    if twice.isEmpty():
+        return keyed, None
+    may = among(twice.select(F.xxhash64("of_doc", "of_hash").alias("key")), "key")(F.xxhash64("doc", "hash"))
+    on = F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("hash") == F.col("of_hash"))
+    # numbered as they are written, so that no recomputation deals other numbers
+    same = materialise(keyed.where(may).join(twice, on, "left_semi").withColumn("nth", F.monotonically_increasing_id()), "repeated-rows")
+    first = same.groupBy(F.col("doc").alias("of_doc"), F.col("hash").alias("of_hash")).agg(F.min("nth").alias("stays"))
+    same = same.join(materialise(first, "first-rows"), on)
+    one = keyed.where(~may).unionByName(keyed.where(may).join(twice, on, "left_anti")).unionByName(same.where("nth = stays").select(*keyed.columns))
+    return one, same.where("nth <> stays").select(*keyed.columns)
+
+
 def col(name: str) -> Column:
     """A top-level column of that very name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")

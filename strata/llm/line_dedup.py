@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import among, col, let, materialise, row_hash, stripped, table, text_of
+from strata.llm.common import among, col, first_of_equal, let, materialise, row_hash, stripped, table, text_of
 
 SPAN = 3
 
@@ -64,34 +64,20 @@ def _clean(rows: DataFrame) -> DataFrame:
     return rows.select("row", F.coalesce(kept, F.col("text")).alias("clean"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
 
 
-def _repeats(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of which none is equal to another in doc and hash, and the others of each group with all their windows as spans (None: there are none)."""
-    twice = materialise(keyed.groupBy("doc", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc").alias("of_doc"), F.col("hash").alias("of_hash")), "repeated-keys")
-    if twice.isEmpty():
-        return keyed, None
-    key = F.xxhash64("doc", "hash")
-    may = among(twice.select(F.xxhash64("of_doc", "of_hash").alias("key")), "key")(key)
-    on = F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("hash") == F.col("of_hash"))
-    # numbered as they are written, so that no recomputation deals other numbers
-    same = materialise(keyed.where(may).join(twice, on, "left_semi").withColumn("nth", F.monotonically_increasing_id()), "repeated-rows")
-    first = same.groupBy(F.col("doc").alias("of_doc"), F.col("hash").alias("of_hash")).agg(F.min("nth").alias("stays"))
-    same = same.join(materialise(first, "first-rows"), on)
-    alone = keyed.where(~may).unionByName(keyed.where(may).join(twice, on, "left_anti")).unionByName(same.where("nth = stays").select(*keyed.columns))
-    spans = _in_windows(F.col("text"), lambda x, k: F.struct(x[k]["i"].alias("first"), x[k + SPAN - 1]["i"].alias("last")))
-    return alone, same.where("nth <> stays").select("row", "text", spans.alias("spans"))
-
-
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each of docs: row (its columns), clean (the text without covered lines), n_lines, n_removed."""
     text = text_of(text_col)
     keyed = docs.select(F.struct(*(col(c) for c in docs.columns)).alias("row"), text.alias("text"), col(id_col).cast("long").alias("doc"), row_hash(text).alias("hash"))
-    keyed, repeated = _repeats(keyed)
+    keyed, repeated = first_of_equal(keyed)
     spans = materialise(covered(docs, id_col, text_col), "spans").withColumnsRenamed({"doc": "of_doc", "hash": "of_hash"})
     has_spans = among(spans.select(F.xxhash64("of_doc", "of_hash").alias("key")), "key")(F.xxhash64("doc", "hash"))
     met = keyed.where(has_spans).join(spans, F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("hash") == F.col("of_hash")), "left").select("row", "text", "spans")
     rest = keyed.where(~has_spans).select("row", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     out = _clean(rest).unionByName(_clean(met))
-    return out if repeated is None else out.unionByName(_clean(repeated))
+    if repeated is None:
+        return out
+    all_windows = _in_windows(F.col("text"), lambda x, k: F.struct(x[k]["i"].alias("first"), x[k + SPAN - 1]["i"].alias("last")))
+    return out.unionByName(_clean(repeated.select("row", "text", all_windows.alias("spans"))))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
