@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strata.errors import ShardOutOfRange, StructIdOutOfRange, TenantOutOfRange, TickOutOfRange
+
 ID_COLUMNS = ("tenant", "shard", "struct_id", "created_at")
 BITS = {"tenant": 48, "shard": 12, "struct_id": 20, "created_at": 48}
 #: Where each part stands among the 32 hexadecimal digits, from 1.
@@ -78,6 +80,20 @@ def tick_of(ts: Column | str) -> Column:
     return ((micros - F.pmod(micros, F.lit(TICK_MICROS))) / TICK_MICROS).cast("bigint")
 
 
+def checked(tenant: int, shard: int, struct_id: int, created_at: int) -> tuple[int, int, int, int]:
+    """The parts of an id, if each fits: for callers that want an error where the packing functions mask."""
+    kinds = {"tenant": TenantOutOfRange, "shard": ShardOutOfRange, "struct_id": StructIdOutOfRange, "created_at": TickOutOfRange}
+    for part, value in zip(ID_COLUMNS, (tenant, shard, struct_id, created_at), strict=True):
+        if not 0 <= value < 1 << BITS[part]:
+            raise kinds[part](part, value, BITS[part])
+    return tenant, shard, struct_id, created_at
+
+
+def anchor_of_unique(struct_id: int, tenant: Column | str | int = "tenant") -> Column:
+    """The key of a tenant's record of a unique family: shard and tick are zero."""
+    return id_hex(tenant, 0, struct_id, 0)
+
+
 def order_columns() -> list[Column]:
     """Numeric order of ids."""
     return [F.col(c) for c in ID_COLUMNS]

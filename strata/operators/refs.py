@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.errors import StrataError
+from strata.runtime import materialise
+
 
 def one_to_one(a: DataFrame, b: DataFrame, on: Column, back: Column | None = None) -> DataFrame:
     """Pairs that refer to each other; back is the reference the other way, if b has one."""
@@ -53,13 +56,20 @@ def resolve_alias(refs: DataFrame, aliases: DataFrame, ref: str, alias: str, pri
     return refs.join(aliases.select(F.col(alias).alias("__alias"), F.col(primary).alias("__primary")), F.col(ref) == F.col("__alias"), "left").withColumn(ref, F.coalesce("__primary", ref)).drop("__alias", "__primary")
 
 
-def descend(nodes: DataFrame, key: str, parent: str, most: int = 32) -> DataFrame:
-    """nodes and depth below a root: a level a pass, until none is left."""
-    level = nodes.where(F.col(parent).isNull()).withColumn("depth", F.lit(0))
-    levels = [level]
-    for depth in range(1, most):
-        level = nodes.join(level.select(F.col(key).alias("__up")), F.col(parent) == F.col("__up")).drop("__up").withColumn("depth", F.lit(depth))
-        if level.isEmpty():
-            break
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+def descend(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """nodes and depth below a root, however deep. Keys are unique; what hangs below a parent that isn't there is left out, and a cycle is an error.
+
+    Each node knows an ancestor and how far up it is; a pass puts that ancestor's own in its place, so the distances double and
+    the passes grow with the logarithm of the depth. Every pass is a table of its own.
+    """
+    up = lambda df: df.select(F.col("__key").alias("__of"), F.col("__up").alias("__next"), F.col("__far").alias("__more"))
+    start = nodes.select(F.col(key).alias("__key"), F.col(parent).alias("__up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("bigint").alias("__far"))
+    at, many, reach = materialise(start, "ancestors"), None, 1
+    while not at.where("__up is not null").isEmpty():
+        many = at.count() if many is None else many
+        if reach > 2 * many:
+            raise StrataError(f"the {parent}s of some {key}s lead in a circle")
+        met = at.where("__up is not null").join(up(at), F.col("__up") == F.col("__of"))  # an inner join: orphans go
+        at = materialise(at.where("__up is null").unionByName(met.select("__key", F.col("__next").alias("__up"), (F.col("__far") + F.col("__more")).alias("__far"))), "ancestors")
+        reach *= 2
+    return nodes.join(at.select("__key", F.col("__far").alias("depth")), F.col(key) == F.col("__key")).drop("__key")

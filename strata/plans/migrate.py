@@ -21,7 +21,7 @@ class MigrationGraph:
 
     forward: dict[Ref, dict[Ref, Move | None]] = field(default_factory=dict)
     backward: dict[Ref, dict[Ref, Move | None]] = field(default_factory=dict)
-    composed: dict[Ref, tuple[Ref, ...]] = field(default_factory=dict)
+    composed: dict[Ref, tuple[tuple[Ref, ...], Callable[[dict[Ref, DataFrame]], DataFrame] | None]] = field(default_factory=dict)
 
     def add(self, a: Ref, b: Ref, move: Move | None = None, rollback: Move | None = None, can_roll_back: bool | None = None) -> None:
         self.forward.setdefault(a, {})[b] = move
@@ -31,12 +31,25 @@ class MigrationGraph:
     def add_rollback(self, a: Ref, b: Ref, move: Move | None = None) -> None:
         self.backward.setdefault(a, {})[b] = move
 
-    def compose(self, sources: tuple[Ref, ...], target: Ref) -> None:
-        """Several families make one: an edge from each."""
-        self.composed[target] = sources
+    def compose(self, sources: tuple[Ref, ...], target: Ref, move: Callable[[dict[Ref, DataFrame]], DataFrame] | None = None) -> None:
+        """Several families make one: an edge from each, and a move that takes all of them, mostly a join."""
+        self.composed[target] = (sources, move)
         for s in sources:
             self.add(s, target)
 
+    def combine(self, frames: dict[Ref, DataFrame], target: Ref) -> DataFrame:
+        """The target of a composition from the rows of its sources; rows of an earlier version of a source are moved up to it first."""
+        sources, move = self.composed.get(target, ((), None))
+        if move is None:
+            raise NoMigrationPath(f"nothing composes {target}")
+        ready = {}
+        for s in sources:
+            start = next((r for r in frames if r == s), None) or next((r for r in frames if self._walk(self.forward, r, s) is not None), None)
+            if start is None:
+                raise NoMigrationPath(f"{target} needs {s}")
+            ready[s] = self.migrate(frames[start], start, s)
+        return move(ready)
+
     @staticmethod
     def _walk(edges: dict[Ref, dict[Ref, Move | None]], a: Ref, b: Ref) -> list[tuple[Ref, Ref]] | None:
         came: dict[Ref, Ref] = {a: a}
@@ -102,21 +115,24 @@ def graph_of(family: Family) -> MigrationGraph:
 def check_links(family: Family) -> None:
     """The first version of a family has no version to come from."""
     first = family.by_number[min(family.by_number)]
-    if first.forward or first.rollback:
+    if first.forward or first.rollback or first.forward_with or first.rollback_with:
         raise StrataError(f"{family.name}: version {first.number} has no version before it to migrate from")
 
 
-def read_as(df: DataFrame, family: Family, stored: int, wanted: int) -> DataFrame:
-    """Rows of one stored version in the layout of another: the same, up by forward moves, or down by rollbacks."""
+def read_as(df: DataFrame, family: Family, stored: int, wanted: int, session: object = None) -> DataFrame:
+    """Rows of one stored version in the layout of another: the same, up by forward moves, or down by rollbacks. Moves that look things up get the session."""
     step = 1 if wanted > stored else -1
     numbers = sorted(family.by_number)
     at = numbers.index(stored)
     while numbers[at] != wanted:
         v = family.by_number[numbers[at + 1] if step > 0 else numbers[at]]
-        move = v.forward if step > 0 else v.rollback
-        if move is None:
+        move, with_session = (v.forward, v.forward_with) if step > 0 else (v.rollback, v.rollback_with)
+        if move is not None:
+            df = df.transform(move)
+        elif with_session is not None and session is not None:
+            df = with_session(session, df)
+        else:
             raise NoMigrationPath(f"{family.name}: from version {stored} to {wanted}")
-        df = df.transform(move)
         at += step
     return df
 

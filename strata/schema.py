@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from strata.errors import DuplicateHeader, ShapeMismatch, StrataError, UnknownHeader
+from strata.errors import DuplicateHeader, ShapeMismatch, StrataError, StructIdOutOfRange, UnknownHeader, Unsupported
 
 UNIQUE, NON_UNIQUE, NESTED = "unique", "non_unique", "nested"
 MAX_STRUCT_ID, MAX_VERSION = (1 << 20) - 1, 255
@@ -56,6 +56,9 @@ class Version:
     late_checks: tuple[tuple[str | None, str, Callable[[], Column]], ...] = ()
     forward: Callable[[DataFrame], DataFrame] | None = None
     rollback: Callable[[DataFrame], DataFrame] | None = None
+    #: As forward and rollback, with the session that reads: a move may look other families up.
+    forward_with: Callable[[object, DataFrame], DataFrame] | None = None
+    rollback_with: Callable[[object, DataFrame], DataFrame] | None = None
     first_try: Callable[[], DataFrame | None] | None = None
     fallback: Callable[[], DataFrame] | None = None
 
@@ -67,7 +70,7 @@ class Version:
         return tuple(f.name for f in self.fields)
 
 
-@dataclass
+@dataclass(eq=False)
 class Family:
     """All versions of one kind of record."""
 
@@ -79,11 +82,12 @@ class Family:
     primary_anchor: tuple[str, ...] = ()
     secondary_anchors: tuple[tuple[str, ...], ...] = ()
     btree_threshold: int = 50
+    auto_crud: bool = True
     by_number: dict[int, Version] = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
         if not 0 <= self.struct_id <= MAX_STRUCT_ID:
-            raise StrataError(f"{self.name}: struct id {self.struct_id} needs more than 20 bits")
+            raise StructIdOutOfRange("struct id", self.struct_id, 20)
         if self.shape not in (UNIQUE, NON_UNIQUE, NESTED):
             raise StrataError(f"{self.name}: no shape {self.shape}")
         if not self.versions:
@@ -110,6 +114,11 @@ class Family:
             raise UnknownHeader(f"{self.name}: no version {number}")
         return self.by_number[number]
 
+    def must_have_crud(self) -> None:
+        """A family may keep the store's writes out, so that only its own functions write it (through the log)."""
+        if not self.auto_crud:
+            raise Unsupported(f"{self.name} has writes of its own")
+
     def must_be(self, *shapes: str) -> None:
         if self.shape not in shapes:
             raise ShapeMismatch(f"{self.name} is {self.shape}, not {' or '.join(shapes)}")

@@ -38,6 +38,7 @@ def test_many(store, spark):
     assert s.delete(ORDER, gone).count() == 0
     assert sorted(r["amount"] for r in s.query(ORDER).collect()) == [50, 200, 300]
     assert sorted(r["amount"] for r in s.query(ORDER, until=2).collect()) == [50, 150, 200]
+    assert s.query(ORDER, until=2).count() == 3 and s.query(ORDER, until=-1).count() == 0
     with pytest.raises(errors.PermissionDenied):
         s.for_tenant(43).delete(ORDER, gone)
     with pytest.raises(errors.ShapeMismatch):
@@ -62,6 +63,145 @@ def test_one(store, spark):
         s.query(SETTINGS)
 
 
+def test_two_writers(store, spark):
+    """Saves and deletes side by side, over several tenants: nothing is lost and no number is dealt twice."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def work(k):
+        return store.session(k, 42 + k % 2).save(ORDER, spark.createDataFrame([(100 * k + i, "a") for i in range(1, 6)], "amount long, status string"), version=1).accepted.count()
+
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(work, range(6))) == [5] * 6
+    for tenant in (42, 43):
+        rows = store.session(1, tenant).query(ORDER).collect()
+        assert sorted(r["amount"] for r in rows) == [100 * k + i for k in range(tenant - 42, 6, 2) for i in range(1, 6)]
+        assert sorted(r["seq"] for r in rows) == list(range(15)) and len({r["created_at"] for r in rows}) == 15
+
+
+def test_append_while_compacting(store, spark, monkeypatch):
+    """Rows that come while a compaction writes stay; a second compaction of the same state gives way."""
+    s = store.session(1, 42)
+    save = lambda *x: s.save(ORDER, spark.createDataFrame([(v, "a") for v in x], "amount long, status string"), version=1)
+    save(1, 2)
+    save(3)
+    before, commit, late = store.log.parts(ORDER), store.log.commit, []
+
+    def slow(family, change):
+        if not late:
+            late.append(1)
+            save(4)
+        commit(family, change)
+
+    monkeypatch.setattr(store.log, "commit", slow)
+    store.compact(ORDER, 1)
+    monkeypatch.undo()
+    assert sorted(r["amount"] for r in s.query(ORDER).collect()) == [1, 2, 3, 4]
+    assert len(store.log.parts(ORDER)) == 2 and not set(before) & set(store.log.parts(ORDER))
+    monkeypatch.setattr(store.log, "parts", lambda family: before)
+    with pytest.raises(errors.Conflict):
+        store.compact(ORDER, 1)
+    monkeypatch.undo()
+    assert store.vacuum(ORDER) == 3 and sorted(r["amount"] for r in s.query(ORDER).collect()) == [1, 2, 3, 4]
+
+
+def test_chain(spark, tmp_path):
+    from strata.sources.log import Chain
+
+    chain = Chain(spark, f"file://{tmp_path}/chain", keep=3)
+    assert chain.last() == (-1, "")
+    assert all(chain.push(i, f"text {i} é") for i in range(6)) and not chain.push(5, "again") and chain.last() == (5, "text 5 é")
+    assert not chain.push(1, "a number that was cleared away") and chain.last() == (5, "text 5 é")
+
+
+def test_rows_are_scanned_once(store, spark):
+    s = store.session(1, 5)
+    s.save(ORDER, spark.createDataFrame([(1, "a")], "amount long, status string"), version=1)
+    plan = s.query(ORDER, ORDER.amount.gt(0))._jdf.queryExecution().executedPlan().toString()
+    assert sum("status" in line for line in plan.splitlines() if "ReadSchema" in line) == 1
+
+
+def test_moves_with_session(store, spark):
+    """A move may look up another family through the session."""
+    v2 = Version(2, (FieldSpec("amount", "i64"), FieldSpec("owner", "str")), forward_with=lambda s, d: d.crossJoin(s.find(SETTINGS).select(F.col("name").alias("owner"))), rollback_with=lambda s, d: d.drop("owner"))
+    bill = Family("Bill", 7403, NON_UNIQUE, (Version(1, (FieldSpec("amount", "i64"),)), v2))
+    store.registry.add(bill)
+    s = store.session(1, 5)
+    s.save(SETTINGS, spark.createDataFrame([("Ann",)], "name string"))
+    s.save(bill, spark.createDataFrame([(7,)], "amount long"), version=1)
+    assert [(r["amount"], r["owner"]) for r in s.query(bill).collect()] == [(7, "Ann")]
+    with pytest.raises(errors.NoMigrationPath):
+        migrate.read_as(spark.createDataFrame([(7,)], "amount long"), bill, 1, 2)
+
+
+def test_split_has_ids_of_its_own(store, spark):
+    part = Family("Part", 7404, NON_UNIQUE, (Version(1, (FieldSpec("amount", "i64"),)),))
+    store.registry.add(part)
+    s = store.session(1, 5)
+    saved = s.save(ORDER, spark.createDataFrame([(5, "a"), (6, "b"), (7, "c")], "amount long, status string"), version=1, order=("amount",))
+    s.delete(ORDER, saved.accepted.where("amount = 5"))
+    s.split(ORDER, {part: lambda d: d.select("amount")}, order=("amount",))
+    assert sorted((r["amount"], r["created_at"]) for r in s.query(part).collect()) == [(6, 0), (7, 1)]
+    assert sorted(r["amount"] for r in s.query(ORDER).collect()) == [6, 7]
+
+
+def test_anchors(store, spark):
+    from strata.functions import ids
+
+    s = store.session(1, 5)
+    saved = s.save(ORDER, spark.createDataFrame([(5, "a"), (6, "b")], "amount long, status string"), version=1, order=("amount",))
+    s.save(SETTINGS, spark.createDataFrame([("Ann",)], "name string"))
+    key = lambda *x: spark.range(1).select(ids.id_hex(*x)).first()[0]
+    assert s.read_anchor(ORDER, key(5, 0, 7401, saved.accepted.where("amount = 6").first()["created_at"])).first()["amount"] == 6
+    assert s.read_anchor(ORDER, key(5, 0, 7401, 0)).first()["amount"] == 5
+    assert s.read_anchor(SETTINGS, spark.range(1).select(ids.anchor_of_unique(7400, F.lit(5))).first()[0]).first()["name"] == "Ann"
+    blob = spark.createDataFrame([("a" * 64, "x")], "content_hash string, value string")
+    assert s.read_anchor(ORDER, "a" * 64, blob).first()["value"] == "x"
+    for bad, error in (("zz", errors.Unsupported), (key(6, 0, 7401, 0), errors.PermissionDenied)):
+        with pytest.raises(error):
+            s.read_anchor(ORDER, bad)
+
+
+def test_own_writes_only(spark, tmp_path):
+    from strata.store import StoreConfig
+
+    closed = Family("Closed", 7405, NON_UNIQUE, (Version(1, (FieldSpec("amount", "i64"),)),), auto_crud=False)
+    s = StoreConfig(f"file://{tmp_path}/store", (closed,)).open(spark).session(1, 5)
+    with pytest.raises(errors.Unsupported):
+        s.save(closed, spark.createDataFrame([(7,)], "amount long"))
+    assert s.query(closed).count() == 0
+
+
+@pytest.mark.parametrize(("parts", "error"), [((1 << 48, 0, 0, 0), errors.TenantOutOfRange), ((0, 4096, 0, 0), errors.ShardOutOfRange), ((0, 0, 1 << 20, 0), errors.StructIdOutOfRange), ((0, 0, 0, 1 << 48), errors.TickOutOfRange)])
+def test_ids_out_of_range(parts, error):
+    from strata.functions import ids
+
+    assert ids.checked(1, 2, 3, 4) == (1, 2, 3, 4)
+    with pytest.raises(error):
+        ids.checked(*parts)
+
+
+def test_descend(spark):
+    from strata.operators import refs
+
+    chain = spark.range(77).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("up"), F.lit("x").alias("depth_")).unionByName(spark.createDataFrame([(500, 499, "orphan"), (501, 500, "below")], "id long, up long, depth_ string"))
+    assert {r["id"]: r["depth"] for r in refs.descend(chain, "id", "up").collect()} == {i: i for i in range(77)}
+    assert refs.descend(chain.limit(0), "id", "up").count() == 0
+    with pytest.raises(errors.StrataError):
+        refs.descend(chain.unionByName(spark.createDataFrame([(900, 901, ""), (901, 900, "")], chain.schema)), "id", "up").count()
+
+
+def test_copy_on_write(spark, tmp_path):
+    from strata.sources.log import copy_on_write
+
+    path = f"file://{tmp_path}/pages"
+    rows = lambda *x: spark.createDataFrame(x, "id long, v string, seq long, page long")
+    copy_on_write(spark, path, rows((1, "a", 1, 0), (2, "b", 2, 1), (3, "c", 3, 2)), "page", ["id"], "seq")
+    files = {r[0] for r in spark.read.parquet(path).where("page = 2").select(F.input_file_name()).collect()}
+    assert copy_on_write(spark, path, rows((1, "z", 4, 0), (2, "late", 1, 1), (4, "d", 5, 1)), "page", ["id"], "seq") == [0, 1]
+    assert sorted((r["id"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, "z"), (2, "b"), (3, "c"), (4, "d")]
+    assert files == {r[0] for r in spark.read.parquet(path).where("page = 2").select(F.input_file_name()).collect()}
+
+
 def test_one_tenant_reads_one_bucket(store, spark):
     s = store.session(1, 5)
     s.save(ORDER, spark.createDataFrame([(1, "a")], "amount long, status string"), version=1)
