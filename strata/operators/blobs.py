@@ -19,14 +19,20 @@ def placed(records: DataFrame, owner: str, value: str, inline: int = INLINE) ->
 
 
 def store(records: DataFrame, owner: str, value: str, inline: int = INLINE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Inline values, blobs (content_hash, size, value) and owners (content_hash, owner); an owner counts once."""
+    """Inline values, blobs (content_hash, size, value and verified: all values of the name are the same bytes) and owners (content_hash, owner); an owner counts once."""
     rows = placed(records, owner, value, inline)
     kept = rows.where("content_hash is null").select("owner", "size", "value")
     large = rows.where("content_hash is not null")
-    blobs = large.groupBy("content_hash").agg(F.max("size").alias("size"), F.first("value").alias("value"))
+    blobs = large.groupBy("content_hash").agg(F.max("size").alias("size"), F.min("value").alias("value"), (F.min("value") == F.max("value")).alias("verified"))
     return kept, blobs, large.select("content_hash", "owner").distinct()
 
 
+def clashes(records: DataFrame, owner: str, value: str, inline: int = INLINE) -> DataFrame:
+    """Names that stand for unlike bytes: the least and the greatest value of a name are compared in full. None, unless SHA-256 is broken."""
+    large = placed(records, owner, value, inline).where("content_hash is not null")
+    return large.groupBy("content_hash").agg(F.min("value").alias("least"), F.max("value").alias("most")).where("least <> most").select("content_hash")
+
+
 def owners_of(owners: DataFrame) -> DataFrame:
     return owners.groupBy("content_hash").agg(F.countDistinct("owner").alias("owners"))
 

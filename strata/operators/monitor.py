@@ -17,6 +17,25 @@ def snapshot(log: DataFrame, rejects: DataFrame, size: Column) -> DataFrame:
     return one.crossJoin(F.broadcast(rejects.agg(F.count("*").alias("rejected"))))
 
 
+def metrics(log: DataFrame, rejects: DataFrame, reads: DataFrame, replicated: DataFrame, slot: Column, size: Column) -> DataFrame:
+    """All figures of a node as one row: the snapshot, and reads, records taken over from others, and pages (slots that were written)."""
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    pages = log.where("op = 'U'").agg(F.countDistinct(slot).alias("pages"))
+    out = snapshot(log, rejects, size)
+    for more in (one(reads, "reads"), one(replicated, "replicated"), pages):  # one row each
+        out = out.crossJoin(F.broadcast(more))
+    return out.withColumn("memory", F.col("bytes") + 65_536)
+
+
+def cache_bytes(rows: DataFrame, kinds: list[str], entry: int = 256) -> DataFrame:
+    """What a cache of these records would take: so many bytes for each distinct key of each kind."""
+    counts = [F.countDistinct(k) for k in kinds]
+    total = counts[0]
+    for c in counts[1:]:
+        total = total + c
+    return rows.agg((total * entry).alias("cache_bytes"))
+
+
 def heat_map(rows: DataFrame, slot: Column, size: Column) -> DataFrame:
     """Bytes of each slot that has any."""
     return rows.groupBy(slot.alias("slot")).agg(F.sum(size).cast("bigint").alias("bytes"))

@@ -39,3 +39,23 @@ def visible(records: DataFrame, groups: DataFrame, user: int, user_tenant: int,
 def promoted(permission: Column) -> Column:
     """Whether the list is long enough to be kept as a table of its own; membership is the same."""
     return F.coalesce(F.size(F.array_distinct(permission["users"])) > PROMOTED, F.lit(False))
+
+
+def promote(records: DataFrame, key: str, permission: str = "permission") -> tuple[DataFrame, DataFrame]:
+    """records with long lists taken out (kind 'listed'), and those lists as a table of key and user, which is met by a join."""
+    p = F.col(permission)
+    long = promoted(p)
+    users = records.where(long).select(F.col(key).alias("listed"), F.explode(F.array_distinct(p["users"])).alias("user"))
+    short = F.struct(F.when(long, F.lit("listed")).otherwise(p["kind"]).alias("kind"), F.when(~long, p["users"]).alias("users"), p["group"].alias("group"))
+    return records.withColumn(permission, F.when(p.isNotNull(), short)), users
+
+
+def with_access_promoted(records: DataFrame, lists: DataFrame, groups: DataFrame, key: str, user: int, user_tenant: int, permission: str = "permission", tenant: str = "tenant") -> DataFrame:
+    """As with_access, for records that promote() made: only one user's entries of the long lists and the groups take part in the joins."""
+    mine = lists.where(F.col("user") == user).select("listed").distinct()
+    member = groups.where(F.array_contains("users", user)).select(F.col("group_id").alias("__g")).distinct()
+    p = F.col(permission)
+    met = records.join(mine, F.col(key) == F.col("listed"), "left").join(member, p["group"] == F.col("__g"), "left")
+    short = F.coalesce(F.array_contains(p["users"], user), F.lit(False))
+    allowed = F.when(p.isNull(), F.lit(user_tenant) == F.col(tenant)).when(p["kind"] == "listed", F.col("listed").isNotNull()).when(p["kind"] == "inline", short).otherwise(F.col("__g").isNotNull())
+    return met.withColumn("allowed", allowed).drop("listed", "__g")

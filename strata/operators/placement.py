@@ -89,6 +89,17 @@ def owned(partitions: DataFrame, ranges: DataFrame) -> DataFrame:
     return partitions.join(hit, ["tenant", "shard"], "left").withColumn("owned", F.coalesce("owned", F.lit(False)))
 
 
+def with_range(ranges: DataFrame, tenant: int, first: int, last: int) -> DataFrame:
+    """ranges and one more; the same one twice counts twice."""
+    return ranges.unionByName(ranges.sparkSession.createDataFrame([(tenant, first, last)], "tenant bigint, first int, last int"))
+
+
+def without_range(ranges: DataFrame, tenant: int, first: int, last: int) -> DataFrame:
+    """ranges without one entry that is exactly this; nothing changes if there is none."""
+    same = (F.col("tenant") == tenant) & (F.col("first") == first) & (F.col("last") == last)
+    return ranges.where(~same).unionByName(ranges.where(same).groupBy("tenant", "first", "last").agg(F.count("*").alias("n")).where("n > 1").select("tenant", "first", "last", F.explode(F.expr("sequence(2, n)")).alias("k")).drop("k"))
+
+
 def transfers(events: DataFrame) -> DataFrame:
     """The latest state of each transfer (transfer, seq, state), and whether it still goes on."""
     last = events.groupBy("transfer").agg(F.max_by("state", "seq").alias("state"))

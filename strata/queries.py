@@ -313,10 +313,10 @@ def join_disjunctive(spark, sf):
     return refs.any_of(s, n, [s.s_nationkey == n.n_nationkey, s.s_suppkey % 25 == n.n_nationkey], ["s_suppkey"], ["n_nationkey"]).select("s_suppkey", "n_nationkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE o_custkey = c_custkey AND c_acctbal > 0)")
 def orphan_anti(spark, sf):
-    c, o = read(spark, sf, "customer"), read(spark, sf, "orders")
-    return refs.orphans(c, o, c.c_custkey == o.o_custkey).select("c_custkey")
+    c, o = read(spark, sf, "customer").where("c_acctbal > 0"), read(spark, sf, "orders")
+    return refs.orphans(o, c, c.c_custkey == o.o_custkey).select("o_orderkey")
 
 
 @query("SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS lines FROM lineitem GROUP BY l_orderkey")
@@ -394,9 +394,10 @@ def flush_idempotent(spark, sf):
     return history.apply_flush(once, rows.where("version = 2")).select("tenant", "record_id", "write_seq")
 
 
-@query(f"SELECT tenant, record_id, write_seq, data FROM {_ARCHIVE} a WHERE tenant = 5 AND record_id = 'r100'")
+@query(f"SELECT tenant, record_id, write_seq, data FROM {_ARCHIVE} a WHERE tenant = (SELECT user_id FROM events WHERE event_id = 500) AND record_id = 'r500'")
 def history_get(spark, sf):
-    return history.history_get(history.deduplicated(_archive(spark, sf)), 5, "r100").select("tenant", "record_id", "write_seq", "data")
+    rows = _archive(spark, sf)
+    return history.history_get(history.deduplicated(rows), rows.where("write_seq = 500").first()["tenant"], "r500").select("tenant", "record_id", "write_seq", "data")
 
 
 @query(f"SELECT tenant, count(*) AS record_count, CAST(sum(strlen(data)) AS BIGINT) AS total_bytes FROM {_ARCHIVE} a GROUP BY tenant")
@@ -482,20 +483,22 @@ def watermark_snapshot(spark, sf):
 _M = "(CAST(9223372036854775808 AS UHUGEINT) * 2)"
 
 
-_MIXED = f"(SELECT o_orderkey, z FROM (SELECT o_orderkey, a, CAST((CAST(xor(a, a >> 27) AS UHUGEINT) * CAST({hashing.SPLITMIX[1]} AS UHUGEINT)) % {_M} AS UBIGINT) AS z FROM (SELECT o_orderkey, CAST((CAST(xor(x, x >> 30) AS UHUGEINT) * CAST({hashing.SPLITMIX[0]} AS UHUGEINT)) % {_M} AS UBIGINT) AS a FROM (SELECT o_orderkey, xor(CAST(o_orderkey AS UBIGINT), CAST({hashing.GOLDEN} AS UBIGINT)) AS x FROM orders) p) q) r)"
+def _mixed(more: int) -> str:
+    """z such that xor(z, z >> 31) is mix64 of o_orderkey with more in it."""
+    return f"(SELECT o_orderkey, z FROM (SELECT o_orderkey, a, CAST((CAST(xor(a, a >> 27) AS UHUGEINT) * CAST({hashing.SPLITMIX[1]} AS UHUGEINT)) % {_M} AS UBIGINT) AS z FROM (SELECT o_orderkey, CAST((CAST(xor(x, x >> 30) AS UHUGEINT) * CAST({hashing.SPLITMIX[0]} AS UHUGEINT)) % {_M} AS UBIGINT) AS a FROM (SELECT o_orderkey, xor(CAST(o_orderkey AS UBIGINT), CAST({hashing.GOLDEN ^ more} AS UBIGINT)) AS x FROM orders) p) q) r)"
 
 
-@query(f"SELECT o_orderkey, CAST(xor(z, z >> 31) AS VARCHAR) AS mixed FROM {_MIXED} s")
+@query(f"SELECT o_orderkey, CAST(xor(z, z >> 31) AS VARCHAR) AS mixed FROM {_mixed(0)} s")
 def mix64(spark, sf):
     ship(spark)
     return read(spark, sf, "orders").select("o_orderkey", hashing.mix64(F.col("o_orderkey")).cast("string").alias("mixed"))
 
 
-@query(f"SELECT CAST(xor(z, z >> 31) % 512 AS BIGINT) AS slot, CAST(count(*) * 8 AS BIGINT) AS bytes FROM {_MIXED} s GROUP BY 1")
+@query(f"SELECT CAST(xor(z, z >> 31) % 512 AS BIGINT) AS slot, CAST(count(*) * 8 AS BIGINT) AS bytes FROM {_mixed(101 * hashing.GOLDEN % 2**64)} s GROUP BY 1")
 def heat_map(spark, sf):
-    """Slots by tenant with struct id 0: the two-part rule is mix64 of the tenant alone."""
+    """Slots by struct id and tenant."""
     ship(spark)
-    return monitor.heat_map(read(spark, sf, "orders"), hashing.tuple2_slot(F.lit(0), F.col("o_orderkey"), 512), F.lit(8))
+    return monitor.heat_map(read(spark, sf, "orders"), hashing.tuple2_slot(F.lit(101), F.col("o_orderkey"), 512), F.lit(8))
 
 
 def _heat(spark, sf):
@@ -741,18 +744,6 @@ def access_alone(spark, sf):
 NODES = [placement.node_id_of(f"10.0.0.{i}:7000") for i in range(1, 6)]
 
 
-@query(None)
-def ring_owner(spark, sf):
-    t = read(spark, sf, "customer")
-    return t.select("c_custkey", placement.owner_of(spark, NODES, F.col("c_custkey"), F.lit(0)).alias("owner"))
-
-
-@query(None)
-def ring_replicas(spark, sf):
-    t = read(spark, sf, "customer")
-    return t.select("c_custkey", placement.replicas_of(spark, NODES, F.col("c_custkey"), F.col("c_nationkey"), 3).alias("replicas"))
-
-
 @query("SELECT event_type AS k, user_id AS node, dist, nth FROM (SELECT event_type, user_id, min(event_id) AS dist, CAST(row_number() OVER (PARTITION BY event_type ORDER BY min(event_id)) AS INTEGER) AS nth FROM events GROUP BY 1, 2) x WHERE nth <= 3")
 def distinct_walk(spark, sf):
     ring = read(spark, sf, "events").select(F.col("event_type").alias("k"), F.col("user_id").alias("node"), F.col("event_id").alias("dist"))
@@ -824,11 +815,6 @@ def anchor_duplicates(spark, sf):
     return indexes.duplicates(events_log(spark, sf), family)
 
 
-@query(None)
-def page_checksum(spark, sf):
-    return read(spark, sf, "events").groupBy(hashing.page_checksum(F.col("props")).alias("checksum")).agg(F.count("*").alias("n"))
-
-
 def _event_stream(spark, sf) -> DataFrame:
     path = f"{sf}/events.parquet"
     schema = spark.read.parquet(path).schema
@@ -864,12 +850,13 @@ def seen_delta(spark, sf):
     return feed.unseen(changes, read(spark, sf, "events").where("event_type = 'error' and value > 90"), "user_id").select("event_id")
 
 
-@query("SELECT count(*) AS marked FROM events")
+@query("SELECT count(*) AS marked, true AS few_others FROM events")
 def seen_filter(spark, sf):
-    """No marked key is ever taken for unknown."""
+    """No marked key is ever taken for unknown, and of as many unknown ones no more than a fiftieth for known."""
     rows = read(spark, sf, "events").select("event_id")
     known = feed.SeenFilter.build(rows, "event_id")
-    return rows.where(known.column(F.col("event_id"))).agg(F.count("*").alias("marked"))
+    both = rows.select(known.column(F.col("event_id")).alias("yes"), known.column(-1 - F.col("event_id")).alias("no"))
+    return both.agg(F.count_if("yes").alias("marked"), (F.count_if("no") * 50 <= F.count("*")).alias("few_others"))
 
 
 @query("SELECT event_id, tick - before AS gap FROM (SELECT event_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS tick, lag(CAST(floor(epoch_us(ts) / 1000000) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) x WHERE tick - before > 3 * 36000")

@@ -76,6 +76,26 @@ def high_water_table(acks: DataFrame, target: str, by: str = "tenant", seq: str
     return spark.read.schema(marks.schema).parquet(target).groupBy(by).agg(F.max("high_water").alias("high_water"))
 
 
+def replication_marks(acks: DataFrame, target: str) -> DataFrame:
+    """peer, sent, acked and lag from a stream of (peer, kind, seq), kind 'sent' or 'acked'. Both marks only rise, whatever the order of arrival."""
+    of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("seq"))), F.lit(0)).cast("bigint")
+    marks = acks.groupBy("peer").agg(of("sent").alias("sent"), of("acked").alias("acked"))
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+
+    marks.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", target + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = acks.sparkSession.read.schema(marks.schema).parquet(target).groupBy("peer").agg(F.max("sent").alias("sent"), F.max("acked").alias("acked"))
+    return last.withColumn("lag", F.greatest(F.lit(0), F.col("sent") - F.col("acked")).cast("bigint"))
+
+
+def drain(query, seconds: int = 600) -> bool:
+    """Lets a running stream take what is there, then stops it; whether it came to its end. Its checkpoint lets the next start go on."""
+    query.processAllAvailable()
+    query.stop()
+    return query.awaitTermination(seconds) is not False and query.exception() is None
+
+
 def last_epoch(spark: SparkSession, target: str, schema: str) -> DataFrame:
     """The newest generation that upsert_stream left."""
     at = spark._jvm.org.apache.hadoop.fs.Path(target)

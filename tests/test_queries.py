@@ -3,7 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
-from strata.queries import QUERIES, SQL
+from strata.catalog import QUERIES, SQL
+
+
+#: Queries whose answer is that nothing matches.
+EMPTY = {"filter_type_mismatch"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -11,6 +15,7 @@ def test_query(name, spark, sf, duck, same):
     df = QUERIES[name](spark, sf)
     if name in SQL:
         same(df, duck.sql(SQL[name]))
+        assert name in EMPTY or df.count() > 0
     else:
         assert df.count() > 0
 
@@ -35,4 +40,4 @@ def test_ring_against_plain_search(spark, sf):
     for row in QUERIES["ring_replicas"](spark, sf).join(spark.read.parquet(f"{sf}/customer.parquet"), "c_custkey").limit(60).collect():
         key = fnv(row["c_custkey"].to_bytes(8, "little") + row["c_nationkey"].to_bytes(2, "little"))
         order = [n for p, n in ring if p >= key] + [n for _, n in ring]
-        assert [x % 2**64 for x in row["replicas"]] == list(dict.fromkeys(order))[:3]
+        assert [int(x) % 2**64 for x in row["replicas"].split(",")] == list(dict.fromkeys(order))[:3]
