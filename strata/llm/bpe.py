@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.arrow import slices, texts
+from strata.llm.arrow import settled, slices, texts
 from strata.llm.common import col, named_apart, table, text_of, with_row
 from strata.runtime import ship
 
-CACHE = 96 << 20
+CACHE = 48 << 20
 #: Bytes of a cached word besides its letters and ids.
 CACHED = 200
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -283,6 +283,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, columns: tuple[str,
     shared = spark.sparkContext.broadcast(Vocabulary.load(path or vocabulary_path()))
     packed = docs.select(F.struct(*(col(c) for c in columns)).alias("row"), text_of(text_col).alias("text"))
 
+    @settled
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = id(shared.value)  # a worker keeps the value, and the encoder with its cache, from task to task
         if key not in _ENCODERS:

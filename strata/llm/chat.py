@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.llm.arrow import settled
 from strata.llm.bpe import vocabulary_path
 from strata.llm.common import col, table, text_of
 from strata.runtime import ship
@@ -155,12 +156,14 @@ def chat_format(conversations: DataFrame, path: str | None = None, learned_role:
     shared = _vocabulary(conversations.sparkSession, path)
     rows = conversations.select(col(id_col).cast("long").alias("conv_id"), col(turn_col).cast("long").alias("turn"), text_of(role_col).alias("role"), text_of(text_col).alias("text"))
 
+    @settled
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = _template(shared.value)
         for batch in batches:
             coded = [pa.array(list(map(f, batch.column(i).to_pylist())), pa.binary()) for i, f in ((2, template.encode_role), (3, template.encode))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *coded], ["conv_id", "turn", "role", "role_ids", "text_ids"])
 
+    @settled
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = _template(shared.value)
 
@@ -196,6 +199,7 @@ def read_back(formatted: DataFrame, path: str | None = None) -> DataFrame:
     ship(formatted.sparkSession)
     shared = _vocabulary(formatted.sparkSession, path)
 
+    @settled
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = _template(shared.value)
         sha = lambda text: hashlib.sha256(text.encode()).hexdigest()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.arrow import _mix, grams, per_text, raw, settle, slices, texts, word_hashes
+from strata.llm.arrow import _mix, grams, per_text, raw, settle, settled, slices, texts, word_hashes
 from strata.llm.common import among, col, first_of_equal, materialise, row_hash, table, text_of
 from strata.llm.components import components
 from strata.runtime import ship
@@ -101,6 +101,7 @@ def members(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_c
     """One row for each of docs: doc_id, hash (of the text), n_shingles, class (null for the empty set) and check, a second digest of the set. Rows with toks are no documents: they count shingles
     that stand often in a slice."""
 
+    @settled
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = texts(batch)
@@ -171,6 +172,7 @@ def _spread(docs: DataFrame, keys: list[int], cells: int, size: int, text_col: s
     shared = docs.sparkSession.sparkContext.broadcast((*hot, twins))
     names = ["to", "sub", "head", "body"]
 
+    @settled
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times, twins_ = shared.value
         for batch in batches:
@@ -230,6 +232,7 @@ def _shared(spread: DataFrame, keys: list[int], cells: int) -> DataFrame:
     which = {k: p for p, k in enumerate(keys)}
     names = ["to", "sub", "entries"]
 
+    @settled
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for to, sub, blobs in _by_cell(batches):
             ready = [body for head, body in blobs if not head]
@@ -277,6 +280,7 @@ def _prefixes(shared: DataFrame, parts: int, percent: int) -> DataFrame:
     """Classes with candidates: d, n, lost (fingerprints lost to equal bits), s and alone (shingles shared with another class, and not), need (prefix shingles
     to share), center (mean frequency), sketch (parities of the shared shingles' hashes), toks (prefix shingles), shared (all shared shingles, sorted)."""
 
+    @settled
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, blobs in _by_cell(batches):
             yield from cell(np.frombuffer(b"".join(x for (x,) in blobs), ENTRY))
@@ -335,6 +339,7 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     own = lambda x: classes.select(F.col("d").alias(x), F.col("n").alias("n" + x), F.col("lost").alias("l" + x), F.col("shared").alias("s" + x))
     rows = pairs.join(own("v"), "v").join(own("u"), "u").where(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
 
+    @settled
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
@@ -361,6 +366,7 @@ def verified_again(pairs: DataFrame, docs: DataFrame, found: DataFrame, size: in
     may = among(one.select(F.xxhash64("of_doc", "of_hash").alias("key")), "key")(F.xxhash64("doc", "hash"))
     read = rows.where(may).join(one, F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("hash") == F.col("of_hash"))).select("class", "text")
 
+    @settled
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = texts(batch)
@@ -375,6 +381,7 @@ def verified_again(pairs: DataFrame, docs: DataFrame, found: DataFrame, size: in
     sets = materialise(sets.groupBy("class").agg(F.min("full").alias("full")), "full-sets")
     own = lambda x: sets.select(F.col("class").alias(x), F.col("full").alias("s" + x))
 
+    @settled
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             su, sv = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))

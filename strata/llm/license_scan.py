@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.arrow import grams, per_text, raw, slices, texts, word_hashes, word_spans
+from strata.llm.arrow import grams, per_text, raw, settled, slices, texts, word_hashes, word_spans
 from strata.llm.common import among, col, materialise, named_apart, row_hash, table, text_of, with_row
 from strata.runtime import ship
 
@@ -86,6 +86,7 @@ def _template_grams(templates: list[tuple[list[str], str, bool]]) -> list[tuple[
 def text_grams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, hash and grams: the hashes of all runs of two words of each text."""
 
+    @settled
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = texts(batch)
@@ -172,6 +173,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices
                     out.append(new)
         return [f for f in out if f["base"] or not any(outdone(f, g) for g in out)]
 
+    @settled
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, spans_ = texts(batch), batch.column(2)

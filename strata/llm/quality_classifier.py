@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.arrow import per_text, raw, slices, texts, word_hashes
+from strata.llm.arrow import per_text, raw, settled, slices, texts, word_hashes
 from strata.llm.common import col, is_held_out, named_apart, row_hash, table, text_of, with_row
 from strata.runtime import ship
 
@@ -160,6 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     rows = docs.select(col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), _with_n_chars(docs).alias("n_chars")).join(F.broadcast(chosen), "id")
     rows = rows.groupBy("id", "label").agg(F.min(F.struct(row_hash(F.col("text")).alias("hash"), "text", "n_chars")).alias("x")).select("id", "label", "x.text", "x.n_chars")
 
+    @settled
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, given = texts(batch), _numbers(batch, "n_chars")
@@ -185,6 +186,7 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",),
     shared = docs.sparkSession.sparkContext.broadcast(model)
     packed = docs.select(F.struct(*(col(c) for c in columns)).alias("row"), text_of(text_col).alias("text"), _with_n_chars(docs).alias("n_chars"))
 
+    @settled
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, given = texts(batch), _numbers(batch, "n_chars")

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.llm.arrow import settled
 from strata.llm.common import col, materialise, named_apart, table, text_of, with_row
 from strata.runtime import ship
 
@@ -313,6 +314,7 @@ def secret_scan(docs: DataFrame, scanner: Scanner, columns: tuple[str, ...] = ("
     packed = docs.select(F.struct(*(col(c) for c in columns)).alias("row"), text_of(text_col).alias("text"), path.alias("path"))
     made = ("kind", "start", "end", "secret", "score", "is_secret")
 
+    @settled
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, found, x = [], [], []
