@@ -6,8 +6,8 @@ import __spark_entry__ as entry
 from strata.catalog import QUERIES, SQL
 
 
-#: Queries whose answer is that nothing matches.
-EMPTY = {"filter_type_mismatch"}
+#: Queries whose answer is that nothing matches, or whose rows the smallest tables don't have (all but the first have some at sf0.01).
+EMPTY = {"filter_type_mismatch", "unique_find_tenant", "retention", "monitor_search"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
