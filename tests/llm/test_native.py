@@ -252,6 +252,20 @@ def test_learner():
     assert rules == quality_rules.learn(x, bad)
 
 
+def brute_verdict(x, rules):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept: plain counts, then the learned rules by their masks."""
+    x = x or ""
+    n, chars, symbols, _, repeats = brute_counts(x)
+    lines = [line for line in x.split("\n") if WORD.search(line)]
+    per = lambda a, b: a / b if b else 0.0
+    upper = len(re.findall("[A-Z]", x)) if x.isascii() else sum(unicodedata.category(c) == "Lu" for c in x)
+    dup = len(lines) - len(set(lines))
+    seen = {"mean_word": per(chars, n), "symbol_share": per(symbols, chars), "dup_lines_share": per(dup, n), "repeat_share": per(repeats, n), "upper_share": per(upper, chars), "mark_share": per(sum(c in "!?" for c in x), n)}
+    failed = n < 50 or 100 * repeats > 50 * n
+    rejected = any(rule.mask({k: np.array([v]) for k, v in seen.items()})[0] for rule in rules)
+    return n, chars, symbols, dup, repeats, failed, not failed and not rejected
+
+
 def test_query_brute(spark, sf):
     """base_failed and kept of every document: plain counts, then the learned rules by their masks."""
     sf = sf.replace("sf0.001", "sf0.01")
@@ -260,17 +274,8 @@ def test_query_brute(spark, sf):
     assert rules and all(1 <= len(r.conditions) <= 3 for r in rules)
     got = {r["doc_id"]: r for r in QUERIES["op10_quality_rules"](spark, sf).collect()}
     for r in documents.select("doc_id", "text").collect():
-        x = r["text"] or ""
-        n, chars, symbols, _, repeats = brute_counts(x)
-        lines = [line for line in x.split("\n") if WORD.search(line)]
-        per = lambda a, b: a / b if b else 0.0
-        upper = len(re.findall("[A-Z]", x)) if x.isascii() else sum(unicodedata.category(c) == "Lu" for c in x)
-        dup = len(lines) - len(set(lines))
-        seen = {"mean_word": per(chars, n), "symbol_share": per(symbols, chars), "dup_lines_share": per(dup, n), "repeat_share": per(repeats, n), "upper_share": per(upper, chars), "mark_share": per(sum(c in "!?" for c in x), n)}
-        failed = n < 50 or 100 * repeats > 50 * n
-        rejected = any(rule.mask({k: np.array([v]) for k, v in seen.items()})[0] for rule in rules)
         q = got[r["doc_id"]]
-        assert (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"], q["base_failed"], q["kept"]) == (n, chars, symbols, dup, repeats, failed, not failed and not rejected)
+        assert (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"], q["base_failed"], q["kept"]) == brute_verdict(r["text"], rules)
 
 
 def test_rules_keep_clean(spark, sf):
