@@ -853,10 +853,12 @@ def seen_delta(spark, sf):
 @query("SELECT count(*) AS marked, true AS few_others FROM events")
 def seen_filter(spark, sf):
     """No marked key is ever taken for unknown, and of as many unknown ones no more than a fiftieth for known."""
-    rows = read(spark, sf, "events").select("event_id")
-    known = feed.SeenFilter.build(rows, "event_id")
-    both = rows.select(known.column(F.col("event_id")).alias("yes"), known.column(-1 - F.col("event_id")).alias("no"))
-    return both.agg(F.count_if("yes").alias("marked"), (F.count_if("no") * 50 <= F.count("*")).alias("few_others"))
+    rows = read(spark, sf, "events").select(F.col("event_id").cast("string").alias("key"))
+    known = feed.SeenTable.build(rows, "key")
+    unknown = F.concat(F.lit("not "), F.coalesce("key", F.lit("")))  # no number reads like this
+    asked = rows.select("key", F.lit(True).alias("marked")).unionByName(rows.select(unknown.alias("key"), F.lit(False).alias("marked")))
+    found = known.probably_seen(asked, "key", "yes")
+    return found.agg(F.count_if(F.expr("marked and yes")).alias("marked"), (F.count_if(F.expr("not marked and yes")) * 50 <= F.count_if(~F.col("marked"))).alias("few_others"))
 
 
 @query("SELECT event_id, tick - before AS gap FROM (SELECT event_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS tick, lag(CAST(floor(epoch_us(ts) / 1000000) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) x WHERE tick - before > 3 * 36000")

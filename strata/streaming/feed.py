@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from strata.functions.ids import anchor_hex
 from strata.operators.history import apply_flush
-from strata.runtime import exists, ship
+from strata.runtime import exists, materialise
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
@@ -128,7 +127,7 @@ def unseen(changes: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 
 
 class SeenFilter:
-    """A Bloom filter over text keys: never forgets one, and takes few unknown ones for known."""
+    """A Bloom filter over text keys for a client, of fixed size: never forgets one, and takes few unknown ones for known while it holds no more than items. SeenTable is for tables."""
 
     def __init__(self, items: int = 100_000, false_positives: float = 0.01) -> None:
         self.bits = max(64, math.ceil(-items * math.log(false_positives) / math.log(2) ** 2))
@@ -156,39 +155,61 @@ class SeenFilter:
     def merge(self, other: bytes) -> None:
         self.words |= np.frombuffer(other, np.uint8)
 
+
+class SeenTable:
+    """A seen filter for any number of keys: a table of blocks of 256 bits, in four words. A key sets a bit in each of a block's eight halves of words, and a join by block asks for them.
+
+    Keys are compared as text; null is a key of its own. Asking works on streams too.
+    """
+
+    WORDS = 4
+
+    def __init__(self, table: DataFrame, blocks: int) -> None:
+        self.table, self.blocks = table, blocks
+
     @staticmethod
-    def build(rows: DataFrame, key: str, items: int = 100_000, false_positives: float = 0.01) -> SeenFilter:
-        """Each partition marks its own bits; only filters of the fixed size reach the driver, merged pairwise on the way."""
-        ship(rows.sparkSession)
-        out = SeenFilter(items, false_positives)
-
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            mine = SeenFilter(items, false_positives)
-            for pdf in batches:
-                mine.mark(pdf[key].astype(str).tolist())
-            yield pd.DataFrame({"bits": [mine.to_bytes()]})
-
-        def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            mine = SeenFilter(items, false_positives)
-            for pdf in batches:
-                for b in pdf["bits"]:
-                    mine.merge(b)
-            yield pd.DataFrame({"bits": [mine.to_bytes()]})
-
-        parts = rows.select(F.col(key).cast("string").alias(key)).mapInPandas(work, "bits binary")
-        for row in parts.coalesce(16).mapInPandas(merged, "bits binary").collect():
-            out.merge(row["bits"])
-        return out
+    def rate(load: float) -> float:
+        """Share of unknown keys taken for known with so many keys a block on average, as keys fall into blocks by chance."""
+        halves = 2 * SeenTable.WORDS
+        return sum((-1) ** j * math.comb(halves, j) * math.exp(-load * (1 - (31 / 32) ** j)) for j in range(halves + 1))
 
-    def column(self, key: F.Column) -> F.Column:
-        """Whether a key has probably been seen, on Arrow batches."""
-        me = self
+    @staticmethod
+    def load(false_positives: float) -> float:
+        """The most keys a block may get on average."""
+        if not 1e-9 <= false_positives <= 0.5:
+            raise ValueError(f"false_positives must be between 1e-9 and 0.5, not {false_positives}")
+        low, high = 0.0, 1000.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if SeenTable.rate(mid) <= false_positives else (low, mid)
+        return low
+
+    def masks(self, digest: F.Column) -> list[F.Column]:
+        bits = F.xxhash64(digest)
+        one = lambda shift, at: F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.shiftright(bits, shift).bitwiseAND(31) + at).cast("int"))
+        return [one(10 * i, 0).bitwiseOR(one(10 * i + 5, 32)) for i in range(self.WORDS)]
+
+    def block(self, digest: F.Column) -> F.Column:
+        return F.pmod(digest, F.lit(self.blocks))
 
-        @pandas_udf("boolean")
-        def run(v: pd.Series) -> pd.Series:
-            return pd.Series(me.probably_seen(v.astype(str).tolist()))
+    @staticmethod
+    def build(rows: DataFrame, key: str, items: int = 100_000, false_positives: float = 0.01) -> SeenTable:
+        """Room for all keys there are, and for items at least. Their number is estimated to 0.8 %, with six times that as a reserve."""
+        digests = rows.select(F.xxhash64(F.col(key).cast("string")).alias("digest"))
+        found = digests.agg(F.approx_count_distinct("digest", 0.01)).first()[0]
+        out = SeenTable(rows, math.ceil(max(items, 1.05 * found) / SeenTable.load(false_positives)))
+        marks = digests.select(out.block(F.col("digest")).alias("block"), *(m.alias(f"w{i}") for i, m in enumerate(out.masks(F.col("digest")))))
+        out.table = materialise(marks.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(SeenTable.WORDS))), "seen")
+        return out
 
-        return run(key.cast("string"))
+    def probably_seen(self, rows: DataFrame, key: str, name: str) -> DataFrame:
+        """The rows, with whether their key has probably been seen under that name."""
+        kept = rows.columns
+        asked = rows.withColumn("_digest", F.xxhash64(F.col(key).cast("string")))
+        blocks = self.table.select(F.col("block").alias("_block"), *(F.col(f"w{i}").alias(f"_w{i}") for i in range(self.WORDS)))
+        both = asked.join(blocks, self.block(F.col("_digest")) == F.col("_block"), "left")
+        hits = [F.col(f"_w{i}").bitwiseAND(m) == m for i, m in enumerate(self.masks(F.col("_digest")))]
+        return both.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(reduce(and_, hits), F.lit(False)).alias(name))
 
 
 def replicated(stream: DataFrame, targets: list[str], checkpoint: str):

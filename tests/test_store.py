@@ -283,6 +283,45 @@ def test_seen_filter():
     assert f.probably_seen([f"x{i}" for i in range(10_000)]).mean() < 0.02
 
 
+def test_seen_filter_of_many_keys(spark, tmp_path):
+    from strata.catalog import QUERIES
+
+    spark.range(400_000).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in QUERIES["seen_filter"](spark, str(tmp_path)).collect()] == [(400_000, True)]
+
+
+def test_seen_filter_of_odd_keys(spark, tmp_path):
+    from strata.catalog import QUERIES
+
+    rows = spark.range(-2000, 2000).selectExpr("nullif(id, 7) AS event_id")
+    rows.unionByName(spark.range(3000).selectExpr("CAST(NULL AS bigint) AS event_id")).unionByName(rows).write.parquet(f"{tmp_path}/odd/events.parquet")
+    assert [tuple(r) for r in QUERIES["seen_filter"](spark, f"{tmp_path}/odd").collect()] == [(11_000, True)]
+    rows.limit(0).write.parquet(f"{tmp_path}/none/events.parquet")
+    assert [tuple(r) for r in QUERIES["seen_filter"](spark, f"{tmp_path}/none").collect()] == [(0, True)]
+
+
+def test_seen_table(spark, tmp_path):
+    for share in (0.001, 0.01, 0.1):
+        keys = spark.range(30_000).selectExpr("concat('k', id) AS k").unionByName(spark.createDataFrame([(None,)] + [("k5",)] * 1000, "k string"))
+        known = feed.SeenTable.build(keys, "k", items=1, false_positives=share)
+        assert known.blocks <= 1 + 1.11 * 30_001 / feed.SeenTable.load(share)
+        assert known.probably_seen(keys, "k", "yes").where("yes").count() == 31_001
+        others = known.probably_seen(spark.range(60_000).selectExpr("concat('x', id) AS k", "id AS n"), "k", "yes")
+        assert others.columns == ["k", "n", "yes"] and others.count() == 60_000
+        assert 0.4 * share < others.where("yes").count() / 60_000 < 1.2 * share
+    few = feed.SeenTable.build(spark.createDataFrame([("a",)], "k string"), "k")
+    asked = [(r["k"], r["yes"]) for r in few.probably_seen(spark.createDataFrame([("a",), ("b",), (None,), ("None",)], "k string"), "k", "yes").collect()]
+    assert sorted(asked, key=str) == [("None", False), ("a", True), ("b", False), (None, False)]
+
+
+def test_seen_table_on_a_stream(spark, tmp_path):
+    known = feed.SeenTable.build(spark.range(50), "id")
+    spark.range(40, 60).write.parquet(f"{tmp_path}/in")
+    found = known.probably_seen(feed.read_log(spark, f"{tmp_path}/in", spark.range(1).schema), "id", "yes")
+    rows = feed.run_to_end(found, "seen_on_a_stream", f"{tmp_path}/checkpoint").collect()
+    assert len(rows) == 20 and {r["id"] for r in rows if r["yes"]} == set(range(40, 50))
+
+
 def test_stream_resumes(spark, tmp_path):
     src, target = f"{tmp_path}/in", f"{tmp_path}/out"
     spark.range(5).withColumnRenamed("id", "seq").write.parquet(src)
